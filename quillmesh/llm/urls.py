@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import LOWER, UPPER
+from ._shared import LOWER, UPPER, materialize
 
 RULES = (
     ("block", "com", "/en/"),
@@ -85,7 +85,7 @@ def template_verdicts(
         name = F.when(wild, F.lit("<*>")).when(F.coalesce(alike, F.lit(False)), F.lit("<~>")).otherwise(F.col("kid"))
         named = kids.join(stats, ["host", "node"]).select("host", "node", "kid", name.alias("to"))
         tree = tree.withColumn("kid", part).join(named, ["host", "node", "kid"])
-        tree = tree.withColumn("node", F.concat("node", F.array("to"))).drop("kid", "to")
+        tree = materialize(tree.withColumn("node", F.concat("node", F.array("to"))).drop("kid", "to"))
     tree = tree.withColumn("template", F.array_join(F.concat("node", F.slice("parts", DEPTH + 1, 1)), "/"))
     totals = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     purity = (F.col("b") + prior * prior_rate) / (F.col("l") + prior)
@@ -102,6 +102,6 @@ def filter_urls(pages: DataFrame, rules=RULES, **tree) -> DataFrame:
     counts = rows.groupBy("host", "parts").agg(
         F.count(F.lit(1)).alias("n"), F.count("by_rule").alias("labelled"), F.count_if(F.col("by_rule") == "block").alias("blocked")
     )
-    made = template_verdicts(counts, **tree)
+    made = materialize(template_verdicts(materialize(counts), **tree))
     out = rows.join(made, ["host", "parts"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "made").alias("verdict"), "template", "purity")
