@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from . import mixing, sql, urls
+from . import chat, decontaminate, media, mixing, pii, sql, urls
 from ._shared import table
 
 
+def op3_media_columns(spark, sf_dir):
+    return media.media_report(table(spark, sf_dir, "documents"))
+
+
+def op4_personal_data(spark, sf_dir):
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_chat_threads(spark, sf_dir):
+    return chat.link_quotes(table(spark, sf_dir, "conversations")).drop("order_key")
+
+
 def op6_url_filters(spark, sf_dir):
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -14,5 +30,5 @@ def op7_source_mixing(spark, sf_dir):
     return mixing.mix_to_targets(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op6_url_filters, op7_source_mixing)}
+QUERIES = {f.__name__: f for f in (op3_media_columns, op4_personal_data, op5_decontamination, op6_url_filters, op7_source_mixing, op9_chat_threads)}
 ORACLES = sql.ORACLES
