@@ -67,7 +67,7 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
 
 def benchmark_fingerprints(bench: DataFrame) -> DataFrame:
     words = bench.select(words_of(text_of(bench)).alias("words")).where(F.size("words") >= WINDOW)
-    return words.select(F.explode(minima(gram_hashes(F.col("words")))).alias("fp")).distinct()
+    return words.select(F.explode_outer(minima(gram_hashes(F.col("words")))).alias("fp")).where("fp is not null").distinct()
 
 
 def find_hits(docs: DataFrame, bench: DataFrame, max_fingerprints: int = MAX_FINGERPRINTS, max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -84,19 +84,19 @@ def find_hits(docs: DataFrame, bench: DataFrame, max_fingerprints: int = MAX_FIN
         near = F.exists("mins", lambda h: h.isin(known)) if known else F.lit(False)
         rows = rows.withColumn("near", near).drop("mins")
     else:
-        probes = rows.select("doc_id", "text_hash", F.explode(F.array_distinct(minima(gram_hashes(F.col("words"))))).alias("fp"))
+        probes = rows.select("doc_id", "text_hash", F.explode_outer(F.array_distinct(minima(gram_hashes(F.col("words"))))).alias("fp"))
         keys = probes.join(prints, "fp", "left_semi").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
         keys = keys.withColumn("near", F.lit(True))
         rows = rows.join(keys, rows["doc_id"].eqNullSafe(keys["_d"]) & (rows["text_hash"] == keys["_h"]), "left").drop("_d", "_h")
         rows = rows.withColumn("near", F.coalesce("near", F.lit(False)))
-    tries = []
-    for span in sorted(spans):
-        some = rows.where(F.col("near")) if span == WINDOW else rows
-        tries.append(some.select("doc_id", "text_hash", F.lit(span).alias("span"), F.posexplode(_windows(span)).alias("pos", "win")))
-    empty = rows.select("doc_id", "text_hash", F.lit(0).alias("span"), F.lit(0).alias("pos"), F.lit("").alias("win")).where(F.lit(False))
-    probes = empty
-    for t in tries:
-        probes = probes.unionByName(t)
+    # a filter on "near" would be pushed below and repeat the tokeniser for every position,
+    # so that documents without a fingerprint get null instead
+    probes = None
+    for span in sorted(spans) or [WINDOW]:
+        windows_of = F.when(F.col("near"), _windows(span)) if span == WINDOW else _windows(span)
+        tried = rows.select("doc_id", "text_hash", F.lit(span).alias("span"), windows_of.alias("wins"))
+        tried = tried.select("doc_id", "text_hash", "span", F.posexplode_outer("wins").alias("pos", "win"))
+        probes = tried if probes is None else probes.unionByName(tried)
     side = F.broadcast(windows) if n_windows <= max_windows else windows
     hits = probes.join(side, ["span", "win"]).select("doc_id", "text_hash", F.struct("pos", "span").alias("at"), "item")
     found = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("at"), F.array_sort(F.collect_set("item")).alias("items"))
