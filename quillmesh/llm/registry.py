@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, media, mixing, pii, sql, urls
+from . import chat, decontaminate, language, lines, media, minhash, mixing, pii, sql, urls
 from ._shared import table
 
 
+def op2_line_dedup(spark, sf_dir):
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark, sf_dir):
     return media.media_report(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,14 @@ def op5_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_near_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_threads(spark, sf_dir):
     return chat.link_quotes(table(spark, sf_dir, "conversations")).drop("order_key")
 
@@ -30,5 +42,5 @@ def op7_source_mixing(spark, sf_dir):
     return mixing.mix_to_targets(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op4_personal_data, op5_decontamination, op6_url_filters, op7_source_mixing, op9_chat_threads)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_media_columns, op4_personal_data, op5_decontamination, op6_url_filters, op7_source_mixing, op8_language_id, op9_chat_threads, op10_near_duplicates)}
 ORACLES = sql.ORACLES
