@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model of order ORDER per language, trained on a bounded sample of labelled documents
-(at most SAMPLE_BYTES of text per language in expectation, documents chosen by a hash of
-their ids; no labels beyond MAX_LANGUAGES most frequent ones). All languages share one
+(whole texts of SAMPLE_BYTES per language in expectation, documents chosen by a hash of
+their ids; the MAX_LANGUAGES most frequent labels). All languages share one
 sorted array of hashed n-grams per order, whose rows hold a log2 probability (interpolated
 down to the uniform distribution) per language; a missing n-gram falls back to the next
 shorter one with the context's back-off weights.
@@ -228,6 +228,8 @@ def held_out(doc_id: Column) -> Column:
 def fit_languages(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, max_languages: int = MAX_LANGUAGES) -> Model | None:
     """Train on documents that have a language and are not held out."""
     known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
+    # whole texts are learnt; one that alone exceeds the bound of the sample is left out of it
+    known = known.where(F.octet_length("text") <= sample_bytes)
     sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).orderBy(F.desc("size"), "lang").limit(max_languages).collect()
     if not sizes:
         return None
@@ -235,8 +237,7 @@ def fit_languages(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, max_languag
     chance = F.lit(0.0)
     for r in sizes:
         chance = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_bytes / max(r["size"], 1)))).otherwise(chance)
-    # no one document may fill the sample: its share is read from the start
-    rows = known.where(unit < chance).select("lang", "doc_id", F.left("text", F.lit(sample_bytes // 8)).alias("text")).collect()
+    rows = known.where(unit < chance).select("lang", "doc_id", "text").collect()
     return train([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"]))])
 
 
