@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, lines, media, minhash, mixing, pii, sql, urls
+from . import chat, decontaminate, language, lines, media, minhash, mixing, pii, sql, suffix, urls
 from ._shared import table
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix.suffix_report(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_line_dedup(spark, sf_dir):
     return lines.line_report(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op7_source_mixing(spark, sf_dir):
     return mixing.mix_to_targets(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_media_columns, op4_personal_data, op5_decontamination, op6_url_filters, op7_source_mixing, op8_language_id, op9_chat_threads, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_media_columns, op4_personal_data, op5_decontamination, op6_url_filters, op7_source_mixing, op8_language_id, op9_chat_threads, op10_near_duplicates)}
 ORACLES = sql.ORACLES
