@@ -146,38 +146,67 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(False)).alias("kept"))
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            items = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), batch.column(0)[i].as_py())), pa.array(items)], names=["id", "t"])
+
+
+def _own(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(own_id, own): the number of shingles that no other of these ids has; they are in no intersection."""
+    tokens = sets.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "items").mapInArrow(_tokens, "id long, t long")
+    once = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id")).where("m = 1")
+    return once.groupBy(F.col("id").alias("own_id")).agg(F.count(F.lit(1)).alias("own"))
+
+
 def _link(member: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Labels (v, label) of the ids that are linked to others."""
+    """Labels (v, label) of the ids that are linked to others.
+
+    Centres are those members whose buckets are the largest, as the source of many copies
+    shares more buckets than any one copy. From the second round on, what a member's own
+    shingles leave bounds its similarity to others, and hopeless pairs are not made.
+    """
+    sizes = member.groupBy("b").agg(F.count(F.lit(1)).alias("m"))
+    weight = member.join(sizes, "b").groupBy("id").agg(F.sum("m").alias("deg"))
+    member = materialize(member.join(weight, "id").withColumn("own", F.lit(0).cast("long")))
     labels, links, tried, centres = None, None, None, 1
     while True:
         state = member
         if labels is not None:
             state = member.join(labels, F.col("id") == F.col("v"), "left").drop("v")
         state = state.withColumn("c", F.coalesce("label", "id") if labels is not None else F.col("id"))
-        mixed = state.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("b")
-        state = materialize(state.select("b", "id", "n", "c").join(mixed, "b", "left_semi"))
+        mixed = state.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("b", "least")
+        common = F.col("n") - F.col("own")
+        hope = 100 * common >= share * (F.col("n") + F.greatest("least", common) - common)
+        state = materialize(state.join(mixed, "b").where(hope).select("b", "id", "n", "own", "deg", "c"))
         largest = state.groupBy("b").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
         if not largest:
             break
         last = largest <= centres  # then all members are centres
         part = F.col("id") if last else F.pmod(F.xxhash64("id"), F.lit(centres))
-        middle = state.groupBy("b", part.alias("part")).agg(F.min(F.struct(F.xxhash64("id", F.lit(1)), "id", "n", "c")).alias("m"))
-        middle = middle.select("b", F.col("m.id").alias("m_id"), F.col("m.n").alias("m_n"), F.col("m.c").alias("m_c"))
-        pairs = state.join(middle, "b").where((F.col("c") != F.col("m_c")) & (100 * F.least("n", "m_n") >= share * F.greatest("n", "m_n")))
+        middle = state.groupBy("b", part.alias("part")).agg(F.min(F.struct(-F.col("deg"), "id", "n", "own", "c")).alias("m"))
+        middle = middle.select("b", *[F.col(f"m.{x}").alias(f"m_{x}") for x in ("id", "n", "own", "c")])
+        both = F.least(F.col("n") - F.col("own"), F.col("m_n") - F.col("m_own"))
+        pairs = state.join(middle, "b").where((F.col("c") != F.col("m_c")) & (100 * both >= share * (F.col("n") + F.col("m_n") - both)))
         pairs = pairs.select(F.least("id", "m_id").alias("a"), F.greatest("id", "m_id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
-        found = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-        found = found.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-        found = materialize(found.mapInArrow(_confirm(share), "a long, b long").distinct())
-        tried = pairs if tried is None else materialize(tried.union(pairs))
-        new = bool(found.take(1))
-        if new:
-            links = found if links is None else materialize(links.union(found))
-            labels = components(links)
+        if pairs.take(1):
+            found = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+            found = found.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+            found = materialize(found.mapInArrow(_confirm(share), "a long, b long").distinct())
+            tried = pairs if tried is None else materialize(tried.union(pairs))
+            if found.take(1):
+                links = found if links is None else materialize(links.union(found))
+                labels = components(links)
         if last:
             break
+        if centres == 1:
+            own = _own(sets, state.select("id").distinct())
+            member = member.drop("own").join(own, F.col("id") == F.col("own_id"), "left")
+            member = materialize(member.select("b", "id", "n", "deg", F.coalesce("own", F.lit(0).cast("long")).alias("own")))
         centres *= GROWTH
     if labels is None:
         labels = member.select(F.col("id").alias("v"), F.col("id").alias("label")).limit(0)
