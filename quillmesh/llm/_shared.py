@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once per row: a lambda variable cannot be inlined by the optimizer."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_of(docs: DataFrame) -> Column:
     """The text column, null as empty."""
     return F.coalesce(docs["text"].cast("string"), F.lit(""))

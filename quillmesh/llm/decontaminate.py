@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower, materialize, text_of
+from ._shared import ascii_lower, bind, materialize, text_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 8, 4
@@ -42,11 +42,6 @@ def _positions(n: Column, span: int) -> Column:
     return F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>"))
 
 
-def _windows(span: int) -> Column:
-    words = F.col("words")
-    return F.transform(_positions(F.size(words), span), lambda i: _at(words, i, span))
-
-
 def gram_hashes(words: Column, k: int = K) -> Column:
     return F.transform(_positions(F.size(words), k), lambda i: F.xxhash64(*[words[i + j] for j in range(k)]))
 
@@ -55,19 +50,47 @@ def minima(hashes: Column, span: int = WINDOW - K + 1) -> Column:
     return F.transform(_positions(F.size(hashes), span), lambda i: F.array_min(F.slice(hashes, i + 1, span)))
 
 
+def fingerprints(words: Column) -> Column:
+    return bind(gram_hashes(words), minima)
+
+
 def benchmark_windows(bench: DataFrame) -> DataFrame:
     """item, span (words), win (text): the windows of every item."""
     items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words_of(text_of(bench)).alias("words"))
     items = items.where(F.size("words") > 0)
     n = F.size("words")
-    long = items.where(n >= WINDOW).select("item", F.lit(WINDOW).alias("span"), F.explode(_windows(WINDOW)).alias("win"))
+    long = items.where(n >= WINDOW).select("item", F.lit(WINDOW).alias("span"), F.explode(F.transform(_positions(n, WINDOW), lambda i: _at(F.col("words"), i, WINDOW))).alias("win"))
     short = items.where(n < WINDOW).select("item", n.alias("span"), F.array_join("words", " ").alias("win"))
     return long.unionByName(short).distinct()
 
 
 def benchmark_fingerprints(bench: DataFrame) -> DataFrame:
     words = bench.select(words_of(text_of(bench)).alias("words")).where(F.size("words") >= WINDOW)
-    return words.select(F.explode_outer(minima(gram_hashes(F.col("words")))).alias("fp")).where("fp is not null").distinct()
+    return words.select(F.explode_outer(fingerprints(F.col("words"))).alias("fp")).where("fp is not null").distinct()
+
+
+def _near(text: Column, known: list[int], starts: dict[int, list[str]]) -> Column:
+    """Whether a text shares a fingerprint, or starts of short items, with the benchmark."""
+
+    def judge(words: Column) -> Column:
+        # minima are looked for only if any hash is known at all
+        shared = lambda h: F.when(F.exists(h, lambda x: x.isin(known)), F.exists(minima(h), lambda x: x.isin(known))).otherwise(False)
+        near = bind(gram_hashes(words), shared) if known else F.lit(False)
+        short = sorted({w for found in starts.values() for w in found})
+        return near | F.exists(words, lambda w: w.isin(short)) if short else near
+
+    return bind(words_of(text), judge)
+
+
+def _probes(text: Column, spans: list[int], starts: dict[int, list[str]]) -> Column:
+    """struct(pos, span, win) of all places at which a window of the benchmark may start."""
+
+    def places(words: Column, span: int) -> Column:
+        at = _positions(F.size(words), span)
+        at = F.filter(at, lambda i: words[i].isin(starts[span])) if span in starts else at
+        return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(span).alias("span"), _at(words, i, span).alias("win")))
+
+    return bind(words_of(text), lambda words: F.concat(*[places(words, s) for s in spans]))
 
 
 def find_hits(docs: DataFrame, bench: DataFrame, max_fingerprints: int = MAX_FINGERPRINTS, max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -76,27 +99,26 @@ def find_hits(docs: DataFrame, bench: DataFrame, max_fingerprints: int = MAX_FIN
     prints = materialize(benchmark_fingerprints(bench))
     spans = {r["span"]: r["n"] for r in windows.groupBy("span").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most WINDOW rows
     n_windows, n_prints = sum(spans.values()), prints.count()
+    n_short = n_windows - spans.get(WINDOW, 0)
+    starts: dict[int, list[str]] = {}
+    if n_short <= max_fingerprints:
+        for r in windows.where(F.col("span") < WINDOW).select("span", F.split("win", " ")[0].alias("w")).distinct().collect():
+            starts.setdefault(r["span"], []).append(r["w"])
     rows = docs.select("doc_id", text_of(docs).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    if n_prints <= max_fingerprints:
-        known = [r["fp"] for r in prints.collect()]
-        rows = rows.withColumn("mins", minima(gram_hashes(F.col("words"))))
-        near = F.exists("mins", lambda h: h.isin(known)) if known else F.lit(False)
-        rows = rows.withColumn("near", near).drop("mins")
+    if n_prints <= max_fingerprints and n_short <= max_fingerprints:
+        rows = rows.where(_near(F.col("text"), [r["fp"] for r in prints.collect()], starts))
+        rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     else:
-        probes = rows.select("doc_id", "text_hash", F.explode_outer(F.array_distinct(minima(gram_hashes(F.col("words"))))).alias("fp"))
-        keys = probes.join(prints, "fp", "left_semi").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-        keys = keys.withColumn("near", F.lit(True))
-        rows = rows.join(keys, rows["doc_id"].eqNullSafe(keys["_d"]) & (rows["text_hash"] == keys["_h"]), "left").drop("_d", "_h")
-        rows = rows.withColumn("near", F.coalesce("near", F.lit(False)))
-    # a filter on "near" would be pushed below and repeat the tokeniser for every position,
-    # so that documents without a fingerprint get null instead
-    probes = None
-    for span in sorted(spans) or [WINDOW]:
-        windows_of = F.when(F.col("near"), _windows(span)) if span == WINDOW else _windows(span)
-        tried = rows.select("doc_id", "text_hash", F.lit(span).alias("span"), windows_of.alias("wins"))
-        tried = tried.select("doc_id", "text_hash", "span", F.posexplode_outer("wins").alias("pos", "win"))
-        probes = tried if probes is None else probes.unionByName(tried)
+        # beyond the bounds of literals: fingerprints are joined, short items tried everywhere
+        rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+        if not n_short:
+            marks = bind(words_of(F.col("text")), lambda w: F.array_distinct(fingerprints(w)))
+            probes = rows.select("doc_id", "text_hash", F.explode_outer(marks).alias("fp"))
+            keys = probes.join(prints, "fp", "left_semi").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+            rows = rows.join(keys, rows["doc_id"].eqNullSafe(keys["_d"]) & (rows["text_hash"] == keys["_h"]), "left_semi")
+    # explode_outer: explode would add a filter that evaluates the array a second time
+    probes = rows.select("doc_id", "text_hash", F.explode_outer(_probes(F.col("text"), sorted(spans) or [WINDOW], starts)).alias("p"))
+    probes = probes.select("doc_id", "text_hash", "p.pos", "p.span", "p.win")
     side = F.broadcast(windows) if n_windows <= max_windows else windows
     hits = probes.join(side, ["span", "win"]).select("doc_id", "text_hash", F.struct("pos", "span").alias("at"), "item")
     found = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("at"), F.array_sort(F.collect_set("item")).alias("items"))
