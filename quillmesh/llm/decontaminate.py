@@ -51,7 +51,7 @@ def minima(hashes: Column, span: int = WINDOW - K + 1) -> Column:
 
 
 def fingerprints(words: Column) -> Column:
-    return bind(gram_hashes(words), minima)
+    return bind(gram_hashes(words), lambda h: minima(h))  # a bare function would get the index as its span
 
 
 def benchmark_windows(bench: DataFrame) -> DataFrame:
