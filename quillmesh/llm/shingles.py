@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 SPAN = 5
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64)

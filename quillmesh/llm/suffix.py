@@ -48,8 +48,8 @@ from .shingles import _powers, chunks, mix
 SPAN, GRAM = 100, 32
 WINDOW = SPAN - GRAM + 1
 GROUP = 64
-FLUSH = 1 << 20
-BYTES = 2 << 20
+#: Entries that a task sorts at once, bytes of text that it hashes at once, rows that it hands on at once.
+FLUSH, BYTES, ROWS = 1 << 18, 1 << 20, 20_000
 MAX_BROADCAST_IDS = 2_000_000
 NO_ID = -(1 << 63)
 FIELDS = [("h", np.uint64), ("ch", np.uint64), ("doc", np.int64), ("pos", np.int64), ("lo", np.uint8), ("hi", np.uint8), ("mark", np.uint8)]
@@ -140,8 +140,8 @@ def _runs(parts: int):
         order = np.argsort(spread, kind="stable")
         bounds = np.searchsorted(spread[order], np.arange(parts + 1))
         ranges = [r for r in range(parts) if bounds[r] < bounds[r + 1]]
-        for at in range(0, len(ranges), 64):
-            some = ranges[at : at + 64]
+        for at in range(0, len(ranges), 16):
+            some = ranges[at : at + 16]
             blobs = [_pack({k: v[order[bounds[r] : bounds[r + 1]]] for k, v in run.items()}) for r in some]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "run"])
 
@@ -166,28 +166,47 @@ def _runs(parts: int):
 MERGED = "kind int, h long, doc_id long, pos long, lo int, hi int"
 
 
+def _cuts(runs: list[dict[str, np.ndarray]]) -> Iterator[dict[str, np.ndarray]]:
+    """The runs, sorted by anchor, in common ranges of about FLUSH entries that never part an anchor."""
+    total = sum(len(r["h"]) for r in runs)
+    if not total:
+        return
+    sample = np.sort(np.concatenate([r["h"][:: max(1, FLUSH // 64)] for r in runs]))
+    n = -(-total // FLUSH)
+    pivots = sample[[len(sample) * i // n for i in range(1, n)]]
+    bounds = [[0, *np.searchsorted(r["h"], pivots).tolist(), len(r["h"])] for r in runs]
+    for i in range(n):
+        part = {k: np.concatenate([r[k][b[i] : b[i + 1]] for r, b in zip(runs, bounds, strict=True)]) for k, _ in FIELDS}
+        if len(part["h"]):
+            yield part
+
+
+def _handed_on(kind: np.ndarray, r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(kind), ROWS):
+        s = slice(at, at + ROWS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(kind[s], pa.int32()), pa.array(r["h"][s].view(np.int64)), pa.array(r["doc"][s]), pa.array(r["pos"][s]), pa.array(r["lo"][s].astype(np.int32)), pa.array(r["hi"][s].astype(np.int32))],
+            names=["kind", "h", "doc_id", "pos", "lo", "hi"],
+        )
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 1: all strings of the entry go; 2: to compare; 3: to split into strings."""
-    runs = [_unpack(b.as_py()) for batch in batches for b in batch.column(0)]
-    if not runs:
-        return
-    run = {k: np.concatenate([r[k] for r in runs]) for k, _ in FIELDS}
-    away = run["mark"] >= 2
-    parts = [(np.where(run["mark"][away] == 2, 1, 3), {k: v[away] for k, v in run.items()})]
-    rest = {k: v[~away] for k, v in run.items()}
-    if len(rest["h"]):
-        rest, later, head = _settle(rest)
-        number, marked = _kinds(rest, head)
+    runs = []
+    for batch in batches:
+        for blob in batch.column(0):
+            run = _unpack(blob.as_py())
+            away = run["mark"] >= 2
+            if away.any():
+                yield from _handed_on(np.where(run["mark"][away] == 2, 1, 3), {k: v[away] for k, v in run.items()})
+            if not away.all():
+                runs.append({k: v[~away] for k, v in run.items()})
+    for part in _cuts(runs):
+        part, later, head = _settle(part)
+        number, marked = _kinds(part, head)
         split = (number > GROUP) | (marked == 1)
         kind = np.where(later, 1, np.where(split, 3, np.where(head & (number > 1), 2, 0)))
-        parts.append((kind[kind > 0], {k: v[kind > 0] for k, v in rest.items()}))
-    for kind, r in parts:
-        for at in range(0, len(kind), 100_000):
-            s = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kind[s], pa.int32()), pa.array(r["h"][s].view(np.int64)), pa.array(r["doc"][s]), pa.array(r["pos"][s]), pa.array(r["lo"][s].astype(np.int32)), pa.array(r["hi"][s].astype(np.int32))],
-                names=["kind", "h", "doc_id", "pos", "lo", "hi"],
-            )
+        yield from _handed_on(kind[kind > 0], {k: v[kind > 0] for k, v in part.items()})
 
 
 FETCHED = "kind int, h long, h2 long, doc_id long, pos long, lo int, hi int, ctx binary"
@@ -210,7 +229,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for start in range(pos - lo, pos - hi + 1):
                         a, b = struct.unpack("<qq", hashlib.blake2b(raw[start : start + SPAN], digest_size=16).digest())
                         rows.append((3, a, b, doc_id, start, 0, 0, b""))
-                if len(rows) >= 50_000:
+                if len(rows) >= ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                     rows = []
         if rows:
