@@ -13,8 +13,9 @@ byte in 35) need sorting.
    strings at once. First occurrences whose anchor has several neighbourhoods go on.
 3. Their neighbourhoods are fetched; within one anchor, the common prefix to the right and
    the common suffix to the left with each earlier one give the strings that match.
-   Anchors with more than GROUP neighbourhoods are split instead into their single strings,
-   which are counted by a 128-bit hash with partial aggregation: no group meets in one task.
+   Anchors with more than GROUP neighbourhoods are split instead into blocks of strings and
+   at last single strings, which are counted by a 128-bit hash with partial aggregation: no
+   group meets in one task.
 4. Ranges are united per document and the rest is hashed.
 
 The merge of step 2 is one vectorised sort of the concatenated sorted runs, and step 3
@@ -48,6 +49,8 @@ from .shingles import _powers, chunks, mix
 SPAN, GRAM = 100, 32
 WINDOW = SPAN - GRAM + 1
 GROUP = 64
+#: Starts in a block of strings, from the first cut of large groups to the last.
+SIZES = (16, 4, 1)
 #: Entries that a task sorts at once, bytes of text that it hashes at once, rows that it hands on at once.
 FLUSH, BYTES, ROWS = 1 << 18, 1 << 20, 20_000
 MAX_BROADCAST_IDS = 2_000_000
@@ -209,13 +212,21 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _handed_on(kind[kind > 0], {k: v[kind > 0] for k, v in part.items()})
 
 
-FETCHED = "kind int, h long, h2 long, doc_id long, pos long, lo int, hi int, ctx binary"
+FETCHED = "kind int, h long, doc_id long, pos long, lo int, hi int, ctx binary"
+FETCHED_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def _blocks(lo: int, hi: int, size: int) -> Iterator[tuple[int, int]]:
+    """Parts (most, least) of the distances hi .. lo from string starts to their anchor, cut at multiples of size."""
+    while hi <= lo:
+        most = min(lo, hi // size * size + size - 1)
+        yield most, hi
+        hi = most + 1
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbourhoods (kind 2), or single strings by hash (kind 3), of a text's candidates."""
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["kind", "h", "h2", "doc_id", "pos", "lo", "hi", "ctx"]
+    """Neighbourhoods (kind 2), or blocks of strings (kind 3), of a text's candidates."""
+    names = ["kind", "h", "doc_id", "pos", "lo", "hi", "ctx"]
     for batch in batches:
         rows = []
         for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -224,16 +235,59 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pos, lo, hi = c["pos"], c["lo"], c["hi"]
                 if c["kind"] == 2:
                     left, right = raw[pos - lo : pos], raw[pos : pos - hi + SPAN]
-                    rows.append((2, c["h"], 0, doc_id, pos, lo, hi, left.rjust(LEFT, b"\0") + right.ljust(SPAN, b"\0")))
+                    rows.append((2, c["h"], doc_id, pos, lo, hi, left.rjust(LEFT, b"\0") + right.ljust(SPAN, b"\0")))
                 else:
-                    for start in range(pos - lo, pos - hi + 1):
-                        a, b = struct.unpack("<qq", hashlib.blake2b(raw[start : start + SPAN], digest_size=16).digest())
-                        rows.append((3, a, b, doc_id, start, 0, 0, b""))
+                    for most, least in _blocks(lo, hi, SIZES[0]):
+                        rows.append((3, c["h"], doc_id, pos, most, least, raw[pos - most : pos - least + SPAN]))
                 if len(rows) >= ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FETCHED_TYPES, strict=True)], names=names)
                     rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FETCHED_TYPES, strict=True)], names=names)
+
+
+PARTS = "doc_id long, pos long, lo int, hi int, ctx binary, b1 long, b2 long, c1 long, c2 long"
+
+
+def _parts(size: int):
+    """Blocks cut to a size, with 128-bit hashes of the block and of what all strings of the whole, uncut block share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = lambda most, least, x: struct.unpack("<qq", hashlib.blake2b(bytes((most, least)) + x, digest_size=16).digest())
+        kinds, names = [*FETCHED_TYPES[2:], *[pa.int64()] * 4], ["doc_id", "pos", "lo", "hi", "ctx", "b1", "b2", "c1", "c2"]
+        for batch in batches:
+            rows = []
+            for doc_id, pos, lo, hi, ctx in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for most, least in _blocks(lo, hi, size):
+                    own, from_ = ctx[lo - most : lo - least + SPAN], least // size * size
+                    rows.append((doc_id, pos, most, least, own, *digest(most, least, own), *digest(from_, from_ + size, own[most - from_ : most - from_ - size + 1 + SPAN])))
+            for at in range(0, len(rows), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + ROWS], strict=True), kinds, strict=True)], names=names)
+
+    return run
+
+
+def _split(blocks: DataFrame) -> DataFrame:
+    """(doc_id, a, b) of strings that start earlier elsewhere, from blocks of strings around common anchors.
+
+    A block that occurred earlier loses all its strings; one whose common bytes occur once
+    loses none; what is left is cut into smaller blocks, down to single strings.
+    """
+    found = None
+    for size in SIZES:
+        rows = materialize(blocks.select("doc_id", "pos", "lo", "hi", "ctx").mapInArrow(_parts(size), PARTS))
+        first = rows.groupBy("b1", "b2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+        later = F.struct("doc_id", "pos") > F.col("first")
+        if size == 1:
+            gone = rows.select("doc_id", "pos", "lo", "hi", "b1", "b2").join(first, ["b1", "b2"]).where(later)
+        else:
+            shared = rows.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+            judged = rows.join(shared, ["c1", "c2"], "left_semi").join(first, ["b1", "b2"], "left")
+            judged = materialize(judged.select("doc_id", "pos", "lo", "hi", "ctx", F.coalesce(later, F.lit(False)).alias("later")))
+            gone, blocks = judged.where("later"), judged.where("not later")
+        gone = gone.select("doc_id", (F.col("pos") - F.col("lo")).alias("a"), (F.col("pos") - F.col("hi") + SPAN).alias("b"))
+        found = gone if found is None else found.unionByName(gone)
+    return found
 
 
 def compare(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -325,9 +379,7 @@ def removed_ranges(raw: DataFrame) -> DataFrame:
     fetched = materialize(fetched.mapInArrow(_fetch, FETCHED))
     pairs = fetched.where("kind = 2").select("h", "doc_id", "pos", "lo", "hi", "ctx").repartition(parts, "h").sortWithinPartitions("h", "doc_id", "pos")
     near = pairs.mapInArrow(_compare, "doc_id long, a long, b long")
-    single = fetched.where("kind = 3").select("h", "h2", "doc_id", "pos")
-    first = single.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    split = single.join(first, ["h", "h2"]).where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", F.col("pos").alias("a"), (F.col("pos") + SPAN).alias("b"))
+    split = _split(fetched.where("kind = 3"))
     whole = merged.where("kind = 1").select("doc_id", (F.col("pos") - F.col("lo")).alias("a"), (F.col("pos") - F.col("hi") + SPAN).alias("b"))
     ranges = whole.unionByName(near).unionByName(split)
     return materialize(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))

@@ -308,3 +308,15 @@ def test_near_duplicates_edges(spark):
     out = minhash.near_duplicates(df.unionByName(df)).collect()
     assert len(out) == 2 * df.count()
     assert minhash.drop_near_duplicates(df).where("doc_id is null").count() == 1
+
+
+def test_suffix_hot_passage(spark):
+    import random
+
+    rng = random.Random(3)
+    passage = words(rng, 60)
+    found = [words(rng, 30) + " " + passage[: rng.choice([150, 300])] + words(rng, 20) for _ in range(200)]
+    found += [words(rng, 10) + passage[rng.randrange(60) :] for _ in range(100)]
+    got = rows_of(suffix.suffix_report(frame(spark, found, null_row=False).repartition(3)))
+    want = brute_suffix(list(enumerate(found)))
+    assert {k: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for k, r in got.items()} == want
