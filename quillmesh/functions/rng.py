@@ -30,7 +30,7 @@ def uniform_np(seed: int, step: int, a, b) -> np.ndarray:
 
 
 def uniform_sql(seed: int, step: int, a: str, b: str) -> str:
-    x = f"(({seed * SEED + step * STEP + ADD} + ({a}) % {P} * {A} + ({b}) % {P} * {B}) % {P})"
+    x = f"(({seed * SEED + step * STEP + ADD} + ({a})::BIGINT % {P} * {A} + ({b})::BIGINT % {P} * {B}) % {P})"
     for c in ROUNDS:
-        x = f"list_transform([{x}], x -> (x * x + {c} * x + {ADD}) % {P})[1]"
+        x = f"list_transform([{x}], lambda x: (x * x + {c} * x + {ADD}) % {P})[1]"
     return f"({x} / {float(P)})"

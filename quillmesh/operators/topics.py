@@ -113,6 +113,19 @@ def fold_in(docs: DataFrame, emission: np.ndarray, prior: np.ndarray, seed: int,
     return written(per_doc(docs, draw, STATE + ", score double, size long", ["doc_id", "words", "z", "score", "size"], ["doc_id", "words"]))
 
 
+def score_given_topics(state: DataFrame, emission: np.ndarray, prior: np.ndarray) -> float:
+    """Log likelihood per word of documents whose topics are given."""
+    shared, mass = state.sparkSession.sparkContext.broadcast(emission), float(prior.sum())
+    k = emission.shape[1]
+
+    def score(doc_id: int, words: np.ndarray, z: np.ndarray):
+        n = np.bincount(z, minlength=k) + prior
+        return (float(np.log((n * shared.value[words]).sum(1)).sum() - len(words) * np.log(len(words) + mass)) if len(words) else 0.0), len(words)
+
+    out = per_doc(state, score, "doc_id long, score double, size long", ["doc_id", "score", "size"], ["doc_id", "words", "z"]).agg(F.sum("score"), F.sum("size")).first()
+    return float(out[0] or 0.0) / max(out[1] or 0, 1)
+
+
 class _Topics:
     def __init__(self, k: int, iters: int, vocab: DataFrame, alpha: float, seed: int):
         if k > 65535:
