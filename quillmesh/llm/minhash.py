@@ -10,7 +10,9 @@ Groups without all pairs: documents with equal sets are one node. In every bucke
 are compared with a few centres only, and components are joined; buckets that still hold
 several components get eight times as many centres in the next round, until every pair in
 different components has been compared. A large group of copies is settled in the first
-round, and only what is truly separate is compared further, so nothing is capped.
+round, and only what is truly separate is compared further, so nothing is capped. Pairs are
+made only if the numbers of shingles in BINS classes of hashes, an upper bound of what two
+sets share, leave them a chance.
 
 Scale: one narrow pass for signatures; shuffles of 8-byte band keys; full sets only for
 nodes that share a bucket. Signatures, sets, links and labels are written to the shared
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import materialize, text_of
@@ -38,6 +40,7 @@ PERMUTATIONS = ROWS * BANDS // 2
 SHARE = 85  # percent
 SLICE = 2048
 GROWTH = 8
+BINS = 128
 #: Ids are broadcast up to this number (16 MB); beyond, texts are shuffled to them.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -63,6 +66,12 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def spread(shingles: np.ndarray) -> np.ndarray | None:
+    """How many shingles fall into each of BINS classes of hashes; none for sets too large for bytes."""
+    counts = np.bincount((shingles & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    return counts.astype(np.int8) if counts.max() < 128 else None
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, column = batch.column(0), batch.column(1)
@@ -82,7 +91,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, data, offsets in chunks(batch.column(0)):
             sets = shingle_sets(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["k", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([spread(s) for s in sets], pa.list_(pa.int8()))], names=["k", "items", "bins"])
 
 
 def _confirm(share: int):
@@ -136,8 +145,8 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
         ids = wanted.select("id").distinct()
         ids = F.broadcast(ids) if n_wanted <= MAX_BROADCAST_IDS else ids
         texts = raw.join(ids, raw["doc_id"] == ids["id"], "left_semi").select("raw")
-        sets = texts.mapInArrow(_sets, "k binary, items binary").join(wanted, "k")
-        sets = materialize(sets.select("id", "items"))
+        sets = texts.mapInArrow(_sets, "k binary, items binary, bins array<tinyint>").join(wanted, "k")
+        sets = materialize(sets.select("id", "k", "items", "bins"))
         # repeated rows bring a set twice; pairs are made distinct after their confirmation
         labels = _link(member.select("b", "id", "n"), sets, share)
     component = nodes.select("k", "id").join(labels, F.col("id") == F.col("v"), "left").select("k", F.coalesce("label", "id").alias("component"))
@@ -146,49 +155,43 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(False)).alias("kept"))
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            items = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), batch.column(0)[i].as_py())), pa.array(items)], names=["id", "t"])
-
-
-def _own(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(own_id, own): the number of shingles that no other of these ids has; they are in no intersection."""
-    tokens = sets.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "items").mapInArrow(_tokens, "id long, t long")
-    once = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id")).where("m = 1")
-    return once.groupBy(F.col("id").alias("own_id")).agg(F.count(F.lit(1)).alias("own"))
+def _hopeful(share: int) -> Column:
+    """Whether a pair can reach the similarity: classes of hashes bound what both sets share."""
+    both = F.aggregate(F.zip_with("bins", "m_bins", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x.cast("int"))
+    least = F.least("n", "m_n")
+    enough = lambda c: 100 * c >= share * (F.col("n") + F.col("m_n") - c)
+    return enough(least) & F.coalesce(enough(both), F.lit(True))
 
 
 def _link(member: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Labels (v, label) of the ids that are linked to others.
 
     Centres are those members whose buckets are the largest, as the source of many copies
-    shares more buckets than any one copy. From the second round on, what a member's own
-    shingles leave bounds its similarity to others, and hopeless pairs are not made.
+    shares more buckets than any one copy. Pairs whose bound is too low are not made.
     """
     sizes = member.groupBy("b").agg(F.count(F.lit(1)).alias("m"))
     weight = member.join(sizes, "b").groupBy("id").agg(F.sum("m").alias("deg"))
-    member = materialize(member.join(weight, "id").withColumn("own", F.lit(0).cast("long")))
+    # an id with several texts has no bound
+    one_text = F.min("k") == F.max("k")
+    bins = materialize(sets.groupBy("id").agg(F.when(one_text, F.first("bins")).alias("bins")))
+    member = materialize(member.join(weight, "id"))
     labels, links, tried, centres = None, None, None, 1
     while True:
         state = member
         if labels is not None:
             state = member.join(labels, F.col("id") == F.col("v"), "left").drop("v")
         state = state.withColumn("c", F.coalesce("label", "id") if labels is not None else F.col("id"))
-        mixed = state.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("b", "least")
-        common = F.col("n") - F.col("own")
-        hope = 100 * common >= share * (F.col("n") + F.greatest("least", common) - common)
-        state = materialize(state.join(mixed, "b").where(hope).select("b", "id", "n", "own", "deg", "c"))
+        mixed = state.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("b")
+        state = materialize(state.join(mixed, "b", "left_semi").select("b", "id", "n", "deg", "c"))
         largest = state.groupBy("b").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
         if not largest:
             break
         last = largest <= centres  # then all members are centres
         part = F.col("id") if last else F.pmod(F.xxhash64("id"), F.lit(centres))
-        middle = state.groupBy("b", part.alias("part")).agg(F.min(F.struct(-F.col("deg"), "id", "n", "own", "c")).alias("m"))
-        middle = middle.select("b", *[F.col(f"m.{x}").alias(f"m_{x}") for x in ("id", "n", "own", "c")])
-        both = F.least(F.col("n") - F.col("own"), F.col("m_n") - F.col("m_own"))
-        pairs = state.join(middle, "b").where((F.col("c") != F.col("m_c")) & (100 * both >= share * (F.col("n") + F.col("m_n") - both)))
+        middle = state.groupBy("b", part.alias("part")).agg(F.min(F.struct(-F.col("deg"), "id", "n", "c")).alias("m"))
+        middle = middle.select("b", *[F.col(f"m.{x}").alias(f"m_{x}") for x in ("id", "n", "c")])
+        middle = middle.join(bins.select(F.col("id").alias("m_id"), F.col("bins").alias("m_bins")), "m_id")
+        pairs = state.join(bins, "id").join(middle, "b").where((F.col("c") != F.col("m_c")) & _hopeful(share))
         pairs = pairs.select(F.least("id", "m_id").alias("a"), F.greatest("id", "m_id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -203,10 +206,6 @@ def _link(member: DataFrame, sets: DataFrame, share: int) -> DataFrame:
                 labels = components(links)
         if last:
             break
-        if centres == 1:
-            own = _own(sets, state.select("id").distinct())
-            member = member.drop("own").join(own, F.col("id") == F.col("own_id"), "left")
-            member = materialize(member.select("b", "id", "n", "deg", F.coalesce("own", F.lit(0).cast("long")).alias("own")))
         centres *= GROWTH
     if labels is None:
         labels = member.select(F.col("id").alias("v"), F.col("id").alias("label")).limit(0)
