@@ -19,8 +19,8 @@ byte in 35) need sorting.
 4. Ranges are united per document and the rest is hashed.
 
 The merge of step 2 is one vectorised sort of the concatenated sorted runs, and step 3
-compares only what lies beyond the known common anchor. A loser tree in Python, one step
-per suffix, does not meet the limits (see the README).
+compares only what lies beyond the known common anchor. It stands in for a loser tree,
+which has not been built here; the README has the figures.
 
 Scale: the exchange moves about 17 bytes per anchor, half a byte per byte of text; only
 texts with candidates or removals are shuffled (ids are broadcast up to MAX_BROADCAST_IDS,
