@@ -1 +1,38 @@
-ORACLES: dict[str, str] = {}
+"""SQL of the training-data queries for another engine, over views with the names of the tables."""
+
+from __future__ import annotations
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{pattern}')"
+
+
+_BENCH = _words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_TEXT = _words(r"[^\x20\x09-\x0D]+")
+
+ORACLES: dict[str, str] = {
+    "op5_decontamination": (
+        f"WITH d AS (SELECT doc_id, {_BENCH} AS w FROM documents), b AS (SELECT item_id::VARCHAR AS item, {_BENCH} AS w FROM benchmark),"
+        " bw AS (SELECT DISTINCT item, span, array_to_string(w[i:i + span - 1], ' ') AS win FROM"
+        " (SELECT item, w, least(len(w), 8) AS span, unnest(range(1, len(w) - least(len(w), 8) + 2)) AS i FROM b WHERE len(w) > 0)),"
+        " dw AS (SELECT doc_id, i, span, array_to_string(w[i:i + span - 1], ' ') AS win FROM"
+        " (SELECT doc_id, w, span, unnest(range(1, len(w) - span + 2)) AS i FROM d, (SELECT DISTINCT span FROM bw) WHERE len(w) >= span)),"
+        " hits AS (SELECT dw.doc_id, i, dw.span, item FROM dw JOIN bw ON bw.win = dw.win AND bw.span = dw.span),"
+        " cover AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + span)) AS p FROM hits) GROUP BY doc_id),"
+        " named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)"
+        " SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,"
+        " coalesce(n_items, 0) >= 2 AS contaminated FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)"
+    ),
+    "op10_near_duplicates": (
+        f"WITH RECURSIVE d AS (SELECT doc_id, {_TEXT} AS w FROM documents),"
+        " sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),"
+        " n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),"
+        " both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),"
+        " links AS (SELECT a, b FROM both_ JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),"
+        " reach AS (SELECT doc_id AS v, doc_id AS l FROM d UNION SELECT links.b, reach.l FROM reach JOIN links ON links.a = reach.v),"
+        " top AS (SELECT v, min(l) AS component_id FROM reach GROUP BY v)"
+        " SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN top ON top.v = d.doc_id LEFT JOIN n USING (doc_id)"
+    ),
+}
