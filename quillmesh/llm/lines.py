@@ -10,7 +10,9 @@ distance with a threshold (Spark has no bit-parallel one; the banded form gives
 distances natively).
 
 Scale: lines are read narrowly; equal lines are merged by partial aggregation before keys
-are made, so that copies cost one row. Keys are 8 bytes; texts are fetched for candidates
+are exploded, so that copies cost one row. Candidates must agree in the parities of their
+words' classes but for three an edit, so that lines which only share a common segment are
+not joined. Keys are 8 bytes; texts are fetched for candidates
 only. Nothing is collected; hot keys are left to skew-aware joins.
 
 Defined cases: null and empty texts have no lines; shorter lines stay; documents keep
@@ -56,6 +58,12 @@ def probe_keys(line: Column, length: Column, tau: int = TAU) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
+def word_mask(line: Column) -> Column:
+    """Parities of the numbers of words in 64 classes; an edit changes at most three of them."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
+    return F.aggregate(F.split(line, " ", -1), F.lit(0).cast("long"), lambda mask, w: mask.bitwiseXOR(bit(w)))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     text = text_of(docs)
     return docs.select("doc_id", F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
@@ -67,13 +75,16 @@ def duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS)
     length = F.char_length("line")
     long = lines.where(length >= min_chars)
     place = F.struct("doc_id", "no")
-    slim = long.select("doc_id", "t", "no", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"), length.alias("len"), index_keys(F.col("line"), length, tau).alias("own"), probe_keys(F.col("line"), length, tau).alias("seek"))
-    slim = materialize(slim)
-    kinds = slim.groupBy("h", "h2", "len").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.min("own").alias("own"), F.min("seek").alias("seek"))
+    named = [F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2")]
+    slim = materialize(long.select("doc_id", "t", "no", *named))
+    keyed = long.select(*named, length.alias("len"), place.alias("at"), index_keys(F.col("line"), length, tau).alias("own"), probe_keys(F.col("line"), length, tau).alias("seek"), word_mask(F.col("line")).alias("mask"))
+    kinds = keyed.groupBy("h", "h2", "len").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.min("own").alias("own"), F.min("seek").alias("seek"), F.min("mask").alias("mask"))
     kinds = materialize(kinds)
-    index = kinds.select(F.explode("own").alias("key"), F.col("h").alias("a"), F.col("h2").alias("a2"))
-    probe = kinds.select(F.explode("seek").alias("key"), F.col("h").alias("b"), F.col("h2").alias("b2"))
-    pairs = index.join(probe, "key").where((F.col("a") != F.col("b")) | (F.col("a2") != F.col("b2"))).select("a", "b")
+    index = kinds.select(F.explode("own").alias("key"), F.col("h").alias("a"), F.col("mask").alias("x"))
+    probe = kinds.select(F.explode("seek").alias("key"), F.col("h").alias("b"), F.col("mask").alias("y"))
+    # lines that share a segment but differ in too many words are no candidates
+    close = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 3 * tau
+    pairs = index.join(probe, "key").where(((F.col("a") != F.col("b")) | (F.col("x") != F.col("y"))) & close).select("a", "b")
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = materialize(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
     few = wanted.count() <= MAX_BROADCAST
