@@ -2,7 +2,8 @@
 
 A line of at least MIN_CHARS code points is a duplicate if it equals an earlier line, or
 differs from one by at most TAU edits; earlier is by (doc_id, line number), judged on the
-input. Lines are split into TAU + 1 segments, of which any two lines within TAU edits share
+input. With exact_short, as in the query and the pipeline, every shorter line that is not
+empty is a duplicate too if it equals an earlier one. Lines are split into TAU + 1 segments, of which any two lines within TAU edits share
 one: every line is indexed under (length, segment number, segment), and probes the indexes
 of its own length and of those up to TAU shorter with the substrings at the positions that
 the multi-match-aware bounds leave. Candidates are verified by the built-in banded edit
@@ -15,7 +16,8 @@ words' classes but for three an edit, so that lines which only share a common se
 not joined. Keys are 8 bytes; texts are fetched for candidates
 only. Nothing is collected; hot keys are left to skew-aware joins.
 
-Defined cases: null and empty texts have no lines; shorter lines stay; documents keep
+Defined cases: null and empty texts have no lines; empty lines stay, and without exact_short
+all lines under MIN_CHARS; documents keep
 their rows (those whose lines all go keep an empty text); repeated rows are at the same
 place and keep their lines together; null doc_ids come first; other columns stay.
 """
@@ -69,15 +71,17 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
 
 
-def duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, exact_short: bool = False) -> tuple[DataFrame, DataFrame]:
     """(doc_id, t, no, links for every duplicate or linked line with its fate; verified links)."""
     lines = lines_of(docs)
     length = F.char_length("line")
-    long = lines.where(length >= min_chars)
+    long = lines.where(length >= (1 if exact_short else min_chars))
     place = F.struct("doc_id", "no")
     named = [F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2")]
     slim = materialize(long.select("doc_id", "t", "no", *named))
-    keyed = long.select(*named, length.alias("len"), place.alias("at"), index_keys(F.col("line"), length, tau).alias("own"), probe_keys(F.col("line"), length, tau).alias("seek"), word_mask(F.col("line")).alias("mask"))
+    # shorter lines have no keys, so that only their equals count
+    joined = lambda keys: F.when(length >= min_chars, keys(F.col("line"), length, tau)).otherwise(F.array().cast("array<bigint>"))
+    keyed = long.select(*named, length.alias("len"), place.alias("at"), joined(index_keys).alias("own"), joined(probe_keys).alias("seek"), word_mask(F.col("line")).alias("mask"))
     kinds = keyed.groupBy("h", "h2", "len").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.min("own").alias("own"), F.min("seek").alias("seek"), F.min("mask").alias("mask"))
     kinds = materialize(kinds)
     index = kinds.select(F.explode("own").alias("key"), F.col("h").alias("a"), F.col("mask").alias("x"))
@@ -105,8 +109,8 @@ def duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS)
     return found.select("doc_id", "t", "no", "links", gone.alias("gone")), links
 
 
-def _per_document(docs: DataFrame, tau: int, min_chars: int) -> DataFrame:
-    found, _ = duplicate_lines(docs, tau, min_chars)
+def _per_document(docs: DataFrame, tau: int, min_chars: int, exact_short: bool) -> DataFrame:
+    found, _ = duplicate_lines(docs, tau, min_chars, exact_short)
     out = found.groupBy("doc_id", "t").agg(F.collect_set(F.when(F.col("gone"), F.col("no"))).alias("gone"), F.collect_set(F.struct("no", "links")).alias("linked"))
     links = F.aggregate("linked", F.lit(0).cast("long"), lambda a, x: a + x["links"])
     return materialize(out.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "gone", links.alias("links")))
@@ -123,9 +127,9 @@ def _rest(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull() | (F.size(gone) == 0), text).otherwise(F.array_join(F.transform(places, lambda i: F.element_at(lines, i + 1)), "\n"))
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
     """The documents, all columns, without duplicate lines; n_chars is counted anew where it exists."""
-    both = _joined(docs, _per_document(docs, tau, min_chars))
+    both = _joined(docs, _per_document(docs, tau, min_chars, exact_short))
     changed = F.size("gone") > 0
     out = both.withColumn("_rest", _rest(F.col("_text"), F.col("gone")))
     new = {"text": F.when(changed, F.col("_rest")).otherwise(F.col("text"))}
@@ -134,10 +138,10 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     return out.withColumns(new).select(*docs.columns)
 
 
-def line_report(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_report(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, exact_short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, n_links (of its lines, to other texts), kept_sha256."""
     slim = docs.select("doc_id", "text")
-    both = _joined(slim, _per_document(slim, tau, min_chars))
+    both = _joined(slim, _per_document(slim, tau, min_chars, exact_short))
     n_lines = F.when(F.col("_text") == "", 0).otherwise(F.size(F.split("_text", "\n", -1)))
     n_gone = F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0))
     return both.select(

@@ -11,7 +11,7 @@ def op1_suffix_dedup(spark, sf_dir):
 
 
 def op2_line_dedup(spark, sf_dir):
-    return lines.line_report(table(spark, sf_dir, "documents"))
+    return lines.line_report(table(spark, sf_dir, "documents"), exact_short=True)
 
 
 def op3_media_columns(spark, sf_dir):
