@@ -6,7 +6,9 @@ directly before a quote are dropped. Quoted runs, and the single lines in them,
 normalised (ASCII lower case, runs of anything but letters and digits to one space),
 hashed, and joined to the paragraphs and whole own texts of all messages. A message
 replies to the message of its least deep linked quote: the first one in its own
-conversation that holds the passage, else the first anywhere. Conversations are rebuilt
+conversation that holds the passage, else the first in any other. Passages of any length
+link; among quotes of one level those under SHORT_CHARS normalised characters, often mere
+greetings, count only where no longer one links. Conversations are rebuilt
 without quotes: ``thread`` is the path of turns from the first message of the reply
 thread, and sorting by (conv_id, thread) puts every reply after what it answers.
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from ._shared import ascii_lower, materialize, text_of
 
 MARKS = r"^(?:[\x20\t]{0,3}>)*"
-MIN_CHARS = 12
+SHORT_CHARS = 12
 
 
 def normalised(text: Column) -> Column:
@@ -59,27 +61,33 @@ def parsed(messages: DataFrame) -> DataFrame:
     return df.select("conv_id", "turn", "role", F.trim(own).alias("own"), F.transform("quotes", as_struct).alias("quotes"))
 
 
-def _hashes(texts: Column) -> Column:
-    """Distinct hashes of those long enough to mean something."""
-    clean = F.filter(F.transform(texts, normalised), lambda x: F.char_length(x) >= MIN_CHARS)
-    return F.array_distinct(F.transform(clean, lambda x: F.md5(x.cast("binary"))))
+def _passages(texts: Column) -> Column:
+    """Distinct struct(short, hash) of those that are not empty."""
+    clean = F.filter(F.transform(texts, normalised), lambda x: x != "")
+    return F.array_distinct(F.transform(clean, lambda x: F.struct((F.char_length(x) < SHORT_CHARS).alias("short"), F.md5(x.cast("binary")).alias("hash"))))
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, own, n_quotes, quote_levels, reply_conv, reply_turn, thread, depth."""
     df = materialize(parsed(messages).withColumn("key", F.md5(F.concat_ws("\x1e", F.coalesce(F.col("role").cast("string"), F.lit("")), "own", F.to_json("quotes")).cast("binary"))))
     known = df.where("conv_id is not null and turn is not null")
-    parts = known.select("conv_id", "turn", F.explode(_hashes(F.concat(F.split("own", r"\n+", -1), F.array("own")))).alias("hash"))
+    parts = known.select("conv_id", "turn", F.explode(_passages(F.concat(F.split("own", r"\n+", -1), F.array("own")))["hash"]).alias("hash"))
     local = parts.groupBy("hash", "conv_id").agg(F.min("turn").alias("at"))
     asked = known.where(F.size("quotes") > 0)
-    probe = F.flatten(F.transform("quotes", lambda q: F.transform(_hashes(F.concat(F.array(q["text"]), q["lines"])), lambda h: F.struct(q["level"].alias("level"), h.alias("hash")))))
-    probes = asked.select("conv_id", "turn", "key", F.explode(F.array_distinct(probe)).alias("p")).select("conv_id", "turn", "key", "p.level", "p.hash")
+    probe = F.flatten(F.transform("quotes", lambda q: F.transform(_passages(F.concat(F.array(q["text"]), q["lines"])), lambda p: F.struct(q["level"].alias("level"), p["short"].alias("short"), p["hash"].alias("hash")))))
+    probes = asked.select("conv_id", "turn", "key", F.explode(F.array_distinct(probe)).alias("p")).select("conv_id", "turn", "key", "p.level", "p.short", "p.hash")
     needed = local.join(probes.select("hash").distinct(), "hash", "left_semi")
     needed = materialize(needed)
     first = needed.groupBy("hash").agg(F.min(F.struct("conv_id", "at")).alias("first"))
+    # a conversation that is itself the first to hold a passage looks to the second
+    first = materialize(first)
+    others = needed.join(first.select("hash", F.col("first.conv_id").alias("conv_id")), ["hash", "conv_id"], "left_anti")
+    second = others.groupBy("hash").agg(F.min(F.struct("conv_id", "at")).alias("second"))
+    first = first.join(second, "hash", "left")
     probes = probes.join(needed, ["hash", "conv_id"], "left").join(first, "hash", "left")
-    inside = F.when(F.col("at") < F.col("turn"), F.struct(F.lit(0).alias("far"), "level", F.col("conv_id").alias("conv"), F.col("at").alias("turn")))
-    away = F.when(F.col("first.conv_id") != F.col("conv_id"), F.struct(F.lit(1).alias("far"), "level", F.col("first.conv_id").alias("conv"), F.col("first.at").alias("turn")))
+    other = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
+    inside = F.when(F.col("at") < F.col("turn"), F.struct(F.lit(0).alias("far"), "level", "short", F.col("conv_id").alias("conv"), F.col("at").alias("turn")))
+    away = F.when(other.isNotNull(), F.struct(F.lit(1).alias("far"), "level", "short", other["conv_id"].alias("conv"), other["at"].alias("turn")))
     links = probes.groupBy("conv_id", "turn", "key").agg(F.min(F.coalesce(inside, away)).alias("to"))
     links = materialize(links.where("to is not null").select("conv_id", "turn", "key", F.col("to.conv").alias("reply_conv"), F.col("to.turn").alias("reply_turn")))
     # threads: within a conversation, each turn points at the turn it answers
