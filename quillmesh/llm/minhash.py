@@ -20,7 +20,7 @@ folder between steps; labels are found by hooking and pointer jumping on DataFra
 
 Defined cases: null or wordless texts have no shingles and no links; texts of 1 to 4 words
 are one shingle; repeated rows share a component; null doc_ids are linked but never name a
-component; an empty table gives an empty result; other columns are ignored.
+component; a doc_id that several texts share does not link them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def spread(shingles: np.ndarray) -> np.ndarray | None:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, column = batch.column(0), batch.column(1)
+        ids, column, texts = batch.column(0), batch.column(1), batch.column(2)
         for first, data, offsets in chunks(column):
             sets = shingle_sets(data, offsets)
             yield pa.RecordBatch.from_arrays(
@@ -82,8 +82,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_key(s) for s in sets], pa.binary()),
                     pa.array([band_keys(signature(s)) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                    texts.slice(first, len(sets)),
                 ],
-                names=["doc_id", "n", "k", "bands"],
+                names=["doc_id", "n", "k", "bands", "t"],
             )
 
 
@@ -129,30 +130,41 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("raw"))
-    signed = materialize(raw.mapInArrow(_sign, "doc_id long, n long, k binary, bands array<bigint>"))
-    nodes = materialize(signed.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    nodes = nodes.where("id is not null")
-    member = nodes.select("k", "id", "n", F.explode("bands").alias("b"))
+def _report(docs: DataFrame, share: int) -> DataFrame:
+    """doc_id, t (hash of the text), k (key of its set), n_shingles, component_id, kept."""
+    text = text_of(docs)
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("raw"), F.xxhash64(text).alias("t"))
+    signed = materialize(raw.mapInArrow(_sign, "doc_id long, n long, k binary, bands array<bigint>, t long"))
+    nodes = signed.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # a node is a set, not a doc_id: one that is given to several texts does not link them
+    nodes = materialize(nodes.where("doc is not null").withColumn("id", F.xxhash64("k")))
+    member = nodes.select("k", "id", "doc", "n", F.explode("bands").alias("b"))
     shared = member.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("b")
     member = materialize(member.join(shared, "b", "left_semi"))
-    wanted = materialize(member.select("id", "k").distinct())
+    wanted = materialize(member.select("id", "k", "doc").distinct())
     n_wanted = wanted.count()
     labels = nodes.select(F.col("id").alias("v"), F.col("id").alias("label")).limit(0)
     if n_wanted:
-        ids = wanted.select("id").distinct()
+        ids = wanted.select("doc").distinct()
         ids = F.broadcast(ids) if n_wanted <= MAX_BROADCAST_IDS else ids
-        texts = raw.join(ids, raw["doc_id"] == ids["id"], "left_semi").select("raw")
-        sets = texts.mapInArrow(_sets, "k binary, items binary, bins array<tinyint>").join(wanted, "k")
+        texts = raw.join(ids, raw["doc_id"] == ids["doc"], "left_semi").select("raw")
+        sets = texts.mapInArrow(_sets, "k binary, items binary, bins array<tinyint>").join(wanted.select("id", "k"), "k")
         sets = materialize(sets.select("id", "k", "items", "bins"))
         # repeated rows bring a set twice; pairs are made distinct after their confirmation
         labels = _link(member.select("b", "id", "n"), sets, share)
-    component = nodes.select("k", "id").join(labels, F.col("id") == F.col("v"), "left").select("k", F.coalesce("label", "id").alias("component"))
-    out = signed.select("doc_id", "n", "k").join(materialize(component), "k", "left")
+    labelled = materialize(nodes.select("k", "id", "doc").join(labels, F.col("id") == F.col("v"), "left").select("k", "doc", F.coalesce("label", "id").alias("label")))
+    # of a component the set with the smallest doc_id stays, of several such the one with the smallest key
+    top = labelled.groupBy("label").agg(F.min(F.struct("doc", "k")).alias("top"))
+    component = labelled.join(top, "label").select("k", F.col("top.doc").alias("component"), (F.col("top.k") == F.col("k")).alias("chosen"))
+    out = signed.select("doc_id", "t", "n", "k").join(materialize(component), "k", "left")
     component_id = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(False)).alias("kept"))
+    kept = F.coalesce((F.col("doc_id") == component_id) & F.coalesce("chosen", F.lit(True)), F.lit(False))
+    return out.select("doc_id", "t", "k", F.col("n").alias("n_shingles"), component_id.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    return _report(docs, share).drop("t", "k")
 
 
 def _hopeful(share: int) -> Column:
@@ -171,9 +183,7 @@ def _link(member: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """
     sizes = member.groupBy("b").agg(F.count(F.lit(1)).alias("m"))
     weight = member.join(sizes, "b").groupBy("id").agg(F.sum("m").alias("deg"))
-    # an id with several texts has no bound
-    one_text = F.min("k") == F.max("k")
-    bins = materialize(sets.groupBy("id").agg(F.when(one_text, F.first("bins")).alias("bins")))
+    bins = materialize(sets.groupBy("id").agg(F.first("bins").alias("bins")))
     member = materialize(member.join(weight, "id"))
     labels, links, tried, centres = None, None, None, 1
     while True:
@@ -213,9 +223,25 @@ def _link(member: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """The documents, all columns: of every component one stays, the one with the smallest doc_id."""
-    report = materialize(near_duplicates(docs, share))
-    out = docs.join(report.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    if report.where("kept").groupBy("doc_id").count().where("count > 1").take(1):
-        out = out.dropDuplicates(["doc_id"])
-    return out
+    """The documents, all columns: of every component one stays, the one with the smallest doc_id.
+
+    Rows are told apart by doc_id and text. Those without a doc_id or without words stay.
+    """
+    report = materialize(_report(docs, share).where("doc_id is not null and n_shingles > 0"))
+    kept = report.where("kept").groupBy(F.col("doc_id").alias("_d"), F.col("k").alias("_k")).agg(F.min("t").alias("_t"), F.count(F.lit(1)).alias("m"))
+    repeated = kept.where("m > 1")
+    gone = report.where("not kept").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct()
+    again = repeated.take(1)
+    if again:
+        repeated = materialize(repeated)
+        # texts of one set that differ in case or spaces: the one with the smallest hash stays
+        other = report.where("kept").join(repeated, (F.col("doc_id") == F.col("_d")) & (F.col("k") == F.col("_k")) & (F.col("t") != F.col("_t")))
+        gone = gone.union(other.select("doc_id", "t").distinct())
+    row = lambda x: (docs["doc_id"].cast("long") == x["_d"]) & (F.xxhash64(text_of(docs)) == x["_t"])
+    if not again:
+        return docs.join(gone, row(gone), "left_anti").select(*docs.columns)
+    same = repeated.select("_d", "_t")
+    single = docs.join(gone.union(same), row(gone), "left_anti").select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    twice = docs.join(same, row(same), "left_semi").groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return single.unionByName(twice.select("row.*"))
