@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..functions.rng import uniform
-from .covertree import Tree
-
-#: Rows from which the tree seeding picks; a documented bound on what the driver holds.
-TREE_SAMPLE = 20_000
+from ..plans.store import written
+from .covertree import BASE
 
 
 def first_k(points: DataFrame, k: int) -> DataFrame:
@@ -40,15 +38,53 @@ def plus_plus(points: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     return np.array(chosen)
 
 
-def spread_out(points: DataFrame, k: int, levels: int = 3, seed: int = 0) -> np.ndarray:
-    rows = random_k(points, max(TREE_SAMPLE, k), seed).select("id", "v").collect()
-    ids, v = np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows])
-    for depth in (levels, -1):
-        tree = Tree(ids, v, depth)
-        if len(ids) - len(tree.skipped) >= k:
-            at = {int(i): j for j, i in enumerate(ids)}
-            return v[[at[int(i)] for i in tree.spread(k)]]
-    raise ValueError("fewer points than seeds")
+def spread_out(points: DataFrame, k: int) -> np.ndarray:
+    """The first k nodes, level by level, of the cover tree of all points.
+
+    The tree inserts points from the remotest to the nearest to the mean, so that the next
+    child of a node is the first of its points in this order that no earlier child covers:
+    one pass a seed finds the upper nodes without building the tree, and only they are held.
+    """
+    points = points.select(F.col("id").cast("long").alias("id"), vec.vector("v").alias("v"))
+    means = points.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("x")).orderBy("at").collect()
+    far = F.sqrt(vec.dist2(F.col("v"), vec.literal([r["x"] for r in means])))
+    points = written(points.select("id", "v", far.alias("far")))
+    root = points.orderBy("far", F.desc("id")).first()
+    if root is None:
+        raise ValueError("fewer points than seeds")
+    near = lambda v: vec.l2(F.col("v"), vec.literal(v))
+    top = points.agg(F.max(near(root["v"]))).first()[0]
+    level = int(np.ceil(np.log(top) / np.log(BASE))) if top > 0 else 0
+    front, chosen = [root], [root]
+    rest = points.where(F.col("id") != root["id"]).withColumn("node", F.lit(root["id"]))
+    while len(chosen) < k:
+        level -= 1
+        reach, below, kids_of = BASE**level, [], {}
+        for node in front:
+            mine, kids = rest.where(F.col("node") == node["id"]), []
+            while len(chosen) < k:
+                row = mine.orderBy(F.desc("far"), "id").select("id", "v", "far").first()
+                if row is None:
+                    break
+                kids.append(row)
+                chosen.append(row)
+                mine = mine.where((F.col("id") != row["id"]) & (near(row["v"]) > reach))
+            kids_of[node["id"]] = kids
+            below += kids
+        if len(chosen) >= k:
+            break
+        if not below:
+            raise ValueError("fewer points than seeds")
+        # a point goes to the nearest of its node's children that were inserted before it
+        place = F.lit(None).cast("struct<d:double,nth:int,id:bigint>")
+        for node, kids in kids_of.items():
+            before = lambda c: (F.col("far") < c["far"]) | ((F.col("far") == c["far"]) & (F.col("id") > c["id"]))
+            covers = [F.when(before(c) & (near(c["v"]) <= reach), F.struct(near(c["v"]).alias("d"), F.lit(i).alias("nth"), F.lit(c["id"]).alias("id"))) for i, c in enumerate(kids)]
+            if covers:
+                place = F.when(F.col("node") == node, F.array_min(F.array(*covers))).otherwise(place)
+        rest = rest.where(~F.col("id").isin([r["id"] for r in below])).withColumn("node", place["id"])
+        rest, front = written(rest), below
+    return np.array([r["v"] for r in chosen[:k]])
 
 
 def seed_centers(points: DataFrame, k: int, init, seed: int = 0) -> np.ndarray:
@@ -61,5 +97,5 @@ def seed_centers(points: DataFrame, k: int, init, seed: int = 0) -> np.ndarray:
     if init == "kmeanspp":
         return plus_plus(points, k, seed)
     if init == "covertree":
-        return spread_out(points, k, seed=seed)
+        return spread_out(points, k)
     raise ValueError(f"unknown seeding: {init}")
