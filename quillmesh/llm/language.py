@@ -1,8 +1,10 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model of order ORDER per language, trained on a bounded sample of labelled documents
-(whole texts of SAMPLE_BYTES per language in expectation, documents chosen by a hash of
-their ids; the MAX_LANGUAGES most frequent labels). All languages share one
+One model of order ORDER per language, trained on a bounded sample of labelled documents:
+of every language, pieces of PIECE code points from anywhere in its texts, chosen by a hash
+of (doc_id, place), of SAMPLE_BYTES characters in expectation. Every label gets a model,
+however long its texts; with more than about a dozen the sample of each shrinks so that the
+model stays within CELLS numbers. All languages share one
 sorted array of hashed n-grams per order, whose rows hold a log2 probability (interpolated
 down to the uniform distribution) per language; a missing n-gram falls back to the next
 shorter one with the context's back-off weights.
@@ -12,11 +14,13 @@ entropy is above the language's limit: the mean over calibration documents (ever
 of the sample, not trained on) plus MARGIN bits plus a term for short texts.
 
 Scale: scoring is one narrow pass with a broadcast model whose size follows from the
-sample's bound, not from the data. Counting labels and sampling are partial aggregations.
+sample's bound, not from the data; a worker holds SLICE texts at a time. Counting labels is
+a partial aggregation, sampling a filter. ``drop_unknown`` sends texts only through Python;
+the rows are kept by a join on the hash of the text, as the verdict depends on nothing else.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected;
 languages that are null are not learnt; without any labelled text all is ``und``; repeated
-rows get equal results; other columns are ignored.
+rows get equal results; other columns are ignored (``drop_unknown`` keeps them all).
 """
 
 from __future__ import annotations
@@ -25,14 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import fresh, materialize, release
+
 ORDER = 4
-SAMPLE_BYTES, MAX_LANGUAGES = 400_000, 256
+SAMPLE_BYTES, PIECE, CELLS = 400_000, 2_000, 1 << 26
 DISCOUNT, MARGIN, SHORT = 0.75, 1.5, 8.0
-CHUNK = 1 << 20
+CHUNK, SLICE = 1 << 18, 256
+#: Hashes of rejected texts are broadcast up to this number (16 MB).
+MAX_BROADCAST = 2_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _LUT: list[np.ndarray] = []
 
@@ -190,33 +197,33 @@ def _predict(holder) -> object:
     names = ["doc_id", "lang_pred", "score", "bits", "rejected"]
     types = [pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
 
+    def judged(model: Model | None, texts: list[str]) -> list[tuple]:
+        if model is None:
+            return [("und", 0.0, 0.0, True)] * len(texts)
+        bits, count = model.entropies(texts)
+        best = bits.argmin(1)
+        low = bits[np.arange(len(texts)), best]
+        limit = model.limits[best] + SHORT / np.sqrt(np.maximum(count, 1))
+        # posterior over languages, as if 20 characters had been seen at most
+        weight = np.exp2(-(bits - low[:, None]) * np.minimum(count, 20)[:, None])
+        score = np.where(low <= limit, 1.0, np.exp2(limit - low)) / weight.sum(1)
+        return [(model.langs[b], float(s), float(h), bool(h > m)) if c else ("und", 0.0, 0.0, True) for b, s, h, m, c in zip(best, score, low, limit, count, strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = holder.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            columns: list[list] = [[], [], [], []]
-            at = 0
-            while at < len(texts):
-                last, size = at, 0
-                while last < len(texts) and (last == at or size + len(texts[last]) <= CHUNK // 4):
-                    size += len(texts[last])
-                    last += 1
-                part = texts[at:last]
-                at = last
-                if model is None:
-                    rows = [("und", 0.0, 0.0, True)] * len(part)
-                else:
-                    bits, count = model.entropies(part)
-                    best = bits.argmin(1)
-                    low = bits[np.arange(len(part)), best]
-                    limit = model.limits[best] + SHORT / np.sqrt(np.maximum(count, 1))
-                    # posterior over languages, as if TEMPER characters had been seen at most
-                    weight = np.exp2(-(bits - low[:, None]) * np.minimum(count, 20)[:, None])
-                    score = np.where(low <= limit, 1.0, np.exp2(limit - low)) / weight.sum(1)
-                    rows = [(model.langs[b], float(s), float(h), bool(h > m)) if c else ("und", 0.0, 0.0, True) for b, s, h, m, c in zip(best, score, low, limit, count, strict=True)]
-                for column, values in zip(columns, zip(*rows, strict=True), strict=True):
-                    column.extend(values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types[1:], strict=True)]], names=names)
+        for whole in batches:
+            for first in range(0, len(whole), SLICE):
+                batch = whole.slice(first, SLICE)
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                rows: list[tuple] = []
+                while len(rows) < len(texts):
+                    last, size = len(rows), 0
+                    while last < len(texts) and (last == len(rows) or size + len(texts[last]) <= CHUNK):
+                        size += len(texts[last])
+                        last += 1
+                    rows += judged(model, texts[len(rows) : last])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=True)]], names=names)
+        release()
 
     return run
 
@@ -225,20 +232,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit_languages(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, max_languages: int = MAX_LANGUAGES) -> Model | None:
-    """Train on documents that have a language and are not held out."""
+def fit_languages(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Train on pieces of documents that have a language and are not held out."""
     known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    # whole texts are learnt; one that alone exceeds the bound of the sample is left out of it
-    known = known.where(F.octet_length("text") <= sample_bytes)
-    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).orderBy(F.desc("size"), "lang").limit(max_languages).collect()
+    size = F.char_length("text")
+    sizes = known.groupBy("lang").agg(F.sum(size).alias("size")).where("size > 0").collect()  # a row for each label
     if not sizes:
         return None
-    unit = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chance = F.lit(0.0)
-    for r in sizes:
-        chance = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_bytes / max(r["size"], 1)))).otherwise(chance)
-    rows = known.where(unit < chance).select("lang", "doc_id", "text").collect()
-    return train([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"]))])
+    bound = min(sample_bytes, CELLS // len(sizes) ** 2)
+    chances = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, bound / r["size"])) for r in sizes], "lang string, chance double")
+    unit = lambda i: F.pmod(F.xxhash64("doc_id", F.lit("language sample"), i), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    pieces = F.filter(F.sequence(F.lit(0), F.floor((size - 1) / PIECE).cast("int")), lambda i: unit(i) < F.col("chance"))
+    some = known.where(size > 0).join(F.broadcast(chances), "lang").select("lang", "doc_id", "text", F.explode(pieces).alias("i"))
+    rows = some.select("lang", "doc_id", "i", F.substr("text", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("piece")).collect()
+    return train([(r["lang"], r["piece"]) for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"]), r["i"], r["piece"]))])
 
 
 def predict_languages(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -256,14 +263,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def drop_unknown(docs: DataFrame) -> DataFrame:
     """The documents, all columns, without those whose language is rejected."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_languages(docs))
-    score = _predict(model)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = pa.array(np.arange(len(batch)), pa.int64())
-            text = batch.column(batch.schema.get_field_index("text"))
-            for out in score(iter([pa.RecordBatch.from_arrays([ids, text], names=["doc_id", "text"])])):
-                yield batch.filter(pa.compute.invert(out.column(4)))
-
-    return docs.mapInArrow(keep, docs.schema)
+    holder = docs.sparkSession.sparkContext.broadcast(fit_languages(docs))
+    text = F.col("text").cast("string")
+    texts = docs.where("text is not null").select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
+    out = texts.mapInArrow(_predict(holder), "doc_id long, lang_pred string, score double, bits double, rejected boolean")
+    name = fresh(docs, "rejected_text")
+    bad = materialize(out.where("rejected").select(F.col("doc_id").alias(name)).distinct())
+    few = bad.count() <= MAX_BROADCAST
+    return docs.where("text is not null").join(F.broadcast(bad) if few else bad, F.xxhash64(text) == F.col(name), "left_anti")
