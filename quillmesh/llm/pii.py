@@ -2,8 +2,10 @@
 
 Base kinds (email, ip, card, phone) are matched leftmost and without overlap; a match that
 fails its validator (octets, Luhn, number of digits) is dropped and not retried. Added
-kinds (iban with mod-97, ssn) are kept if their score, adjusted by words within CONTEXT
-code points, reaches ``keep``. Base spans always stay; their score tells how sure they are.
+kinds (iban with mod-97, ssn, keys of known issuers, secrets that are assigned to a name) are
+kept if their score, raised by whole words within CONTEXT code points, reaches ``keep``. A
+secret has to mix letters and digits, or to be quoted, and must not be one repeated
+character. Base spans always stay; every span carries its score.
 
 Spark has no built-in that returns match positions, so for each pattern the text is both
 split (gaps) and searched (hits); positions are running sums of their lengths. The
@@ -25,6 +27,8 @@ from ._shared import text_of
 
 LOCAL = r"[A-Za-z0-9._%+-]"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+#: Names that secrets are assigned to.
+NAMES = "token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key|credential"
 #: kind: (pattern, what a text must contain, context words, score without them)
 KINDS = {
     "email": (rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", ("mail", "contact"), 0.9),
@@ -33,6 +37,14 @@ KINDS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", ("phone", "call", "tel", "mobile"), 0.6),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None, ("iban", "bank", "konto"), 0.8),
     "ssn": (r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", ("ssn", "social security"), 0.3),
+    "key": (
+        r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|-----BEGIN\x20(?:[A-Z]+\x20)?PRIVATE\x20KEY-----)(?![A-Za-z0-9_])",
+        r"AKIA|gh[pousr]_|sk-|xox|eyJ|PRIVATE KEY", ("key", "token", "secret", "aws", "auth"), 0.9,
+    ),
+    "secret": (
+        rf"(?i)(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{{0,40}}(?:{NAMES})[A-Za-z0-9_-]{{0,40}}[\"']?[\x20\t]?[:=][\x20\t]?(?:\"[^\"\x00-\x20]{{8,512}}\"|'[^'\x00-\x20]{{8,512}}'|[A-Za-z0-9_+/=.~-]{{16,512}}(?![A-Za-z0-9_+/=.~-]))",
+        rf"(?i){NAMES}", ("key", "login", "auth", "config", "export"), 0.7,
+    ),
 }
 BASE = ("email", "ip", "card", "phone")
 CONTEXT, BLOCK = 40, 512
@@ -81,6 +93,10 @@ def valid(kind: str, hit: Column) -> Column:
         return F.when(F.char_length(digits).between(16, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.char_length(F.regexp_replace(hit, "[^0-9]", "")).between(8, 15)
+    if kind == "secret":
+        value = F.regexp_extract(hit, r"[:=][\x20\t]?(.*)$", 1)
+        varied = ~value.rlike(r"^[\"']?(.)\1*[\"']?$")
+        return varied & (value.rlike("^[\"']") | (value.rlike("[0-9]") & value.rlike("[A-Za-z]")))
     if kind == "iban":
         return mod97(F.replace(hit, F.lit(" "), F.lit("")))
     return F.lit(True)
@@ -89,7 +105,7 @@ def valid(kind: str, hit: Column) -> Column:
 def find_spans(docs: DataFrame, keep: float = 0.6) -> DataFrame:
     """doc_id and, per kind, an array of struct(kind, start, end, text, score)."""
     df = docs.select("doc_id", text_of(docs).alias("text"))
-    has = lambda part: F.contains("text", F.lit(part)) if part else F.rlike("text", F.lit("[0-9]"))
+    has = lambda part: F.contains("text", F.lit(part)) if part and len(part) == 1 else F.rlike("text", F.lit(part or "[0-9]"))
     none = F.array().cast("array<string>")
     df = df.select("doc_id", "text", *[F.when(has(p[1]), F.regexp_extract_all("text", F.lit(p[0]), F.lit(0))).otherwise(none).alias(f"hits_{k}") for k, p in KINDS.items()])
     df = df.select("doc_id", *[f"hits_{k}" for k in KINDS], *[F.when(F.size(f"hits_{k}") > 0, F.split("text", p[0], -1)).alias(f"gaps_{k}") for k, p in KINDS.items()])
@@ -110,7 +126,7 @@ def _spans_of(kind: str, keep: float) -> Column:
     def span(i):
         start = at[i] + F.char_length(gaps[i])
         near = F.lower(F.concat(F.right(gaps[i], F.lit(CONTEXT)), F.lit(" "), F.left(gaps[i + 1], F.lit(CONTEXT))))
-        boost = F.when(near.rlike("|".join(words)), 0.3).otherwise(0.0)
+        boost = F.when(near.rlike(rf"(?<![a-z0-9])(?:{'|'.join(words)})s?(?![a-z0-9])"), 0.3).otherwise(0.0)
         return F.struct(
             F.lit(kind).alias("kind"), start.alias("start"), (start + F.char_length(hits[i])).alias("end"),
             hits[i].alias("text"), F.least(F.lit(1.0), F.lit(score) + boost).alias("score"),
@@ -125,11 +141,14 @@ def _spans_of(kind: str, keep: float) -> Column:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans, scores (of spans, in their order)."""
     found = find_spans(docs)
     label = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
-    line = lambda kinds: F.array_join(F.concat(*[F.transform(k, label) for k in kinds]), ",")
+    line = lambda kinds, shown=label: F.array_join(F.concat(*[F.transform(k, shown) for k in kinds]), ",")
+    total = lambda kinds: sum((F.size(k) for k in kinds), F.lit(0)).cast("long")
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(line(BASE), 256).alias("base_sha256"),
-        line(KINDS).alias("spans"), (F.size("iban") + F.size("ssn")).cast("long").alias("n_added"),
+        line(KINDS).alias("spans"), total([k for k in KINDS if k not in BASE]).alias("n_added"), total(KINDS).alias("n_spans"),
+        line(KINDS, lambda s: F.format_string("%.2f", s["score"])).alias("scores"),
     )
+
