@@ -156,7 +156,7 @@ def test_decontamination(spark, limit, short):
     items = [(1, found[6]), (2, " ".join(found[9].split(" ")[50:70]).upper()), (3, found[30]), (5, None), (6, "nothing of it " * 9), (12, found[30])]
     items += [(4, "one TWO, three"), (7, "w1")] if short else []
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = rows_of(decontaminate.contamination(frame(spark, found, null_row=False), bench, max_fingerprints=limit, max_windows=limit))
+    got = rows_of(decontaminate.contamination(frame(spark, found, null_row=False), bench, max_broadcast=limit))
     want = brute_hits(enumerate(found), items)
     assert {k: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for k, r in got.items()} == want
     kept = decontaminate.drop_contaminated(frame(spark, found), bench)
