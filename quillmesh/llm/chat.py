@@ -8,18 +8,21 @@ hashed, and joined to the paragraphs and whole own texts of all messages. A mess
 replies to the message of its least deep linked quote: the first one in its own
 conversation that holds the passage, else the first in any other. Passages of any length
 link; among quotes of one level those under SHORT_CHARS normalised characters, often mere
-greetings, count only where no longer one links. Conversations are rebuilt
-without quotes: ``thread`` is the path of turns from the first message of the reply
-thread, and sorting by (conv_id, thread) puts every reply after what it answers.
+greetings, count only where no longer one links. Conversations are rebuilt without quotes:
+``thread`` is the first turn of the reply thread and ``depth`` the number of messages from
+there on. A reply's turn is above the turn that it answers, so sorting by (conv_id, thread,
+turn) puts every reply after what it answers.
 
 Scale: the index of passages holds one row per (hash, conversation), by partial
 aggregation; both joins are on unique keys, so no pairs multiply however common a passage
-is. Threads are resolved by pointer doubling, in rounds up to the log of their depth. No
-window or list over a conversation is used.
+is. Threads are resolved by pointer doubling on (turn, turn above, distance), in rounds up to
+the log of their depth; a row stays a row however long the chain. No window or list over a
+conversation is used.
 
 Defined cases: a null text is empty; a null conv_id, turn or role is kept as it is, and
 messages with a null conv_id or turn neither link nor are linked; repeated rows each get a
-result; equal passages link to the earliest message; other columns are ignored.
+result; equal passages link to the earliest message; a carriage return at the end of a line
+is dropped; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +30,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower, materialize, text_of
+from ._shared import ascii_lower, bind, materialize, text_of
 
 MARKS = r"^(?:[\x20\t]{0,3}>)*"
+SAYS = r"\b(wrote|writes|said|schrieb|escribió|écrit)\s*:\s*$"
 SHORT_CHARS = 12
 
 
@@ -37,28 +41,47 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
-def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, own, quotes: array of struct(level, text)."""
-    df = messages.select("conv_id", "turn", "role", F.split(F.translate(text_of(messages), "\r\x1d\x1e", ""), "\n", -1).alias("raw"))
+def _lines(text: Column) -> Column:
+    """struct(level, text) per line, without attribution lines before a quote."""
     mark = lambda x: F.regexp_extract(x, MARKS, 0)
     level = lambda x: F.char_length(F.regexp_replace(mark(x), "[^>]", ""))
-    df = df.withColumn("lines", F.transform("raw", lambda x: F.struct(level(x).alias("level"), F.when(level(x) > 0, F.ltrim(F.regexp_replace(x, MARKS, ""))).otherwise(x).alias("text"))))
-    n = F.size("lines")
-    line = F.col("lines")
-    after = lambda i: F.when(i + 1 < n, line[i + 1]["level"]).otherwise(0)
-    says = lambda i: line[i]["text"].rlike(r"\b(wrote|writes|said|schrieb|escribió|écrit)\s*:\s*$") & (after(i) > line[i]["level"])
-    places = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~says(i))
-    df = df.withColumn("lines", F.transform(places, lambda i: line[i])).drop("raw")
-    own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["text"]), "\n")
-    start = lambda i: (i == 0) | (line[i]["level"] != line[F.greatest(i - 1, F.lit(0))]["level"])
-    marked = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.when(start(i), F.concat(F.lit("\x1e"), line[i]["level"].cast("string"), F.lit("\x1d"))).otherwise("\x1d"), line[i]["text"]))
-    runs = F.split(F.substr(F.array_join(marked, ""), F.lit(2)), "\x1e", -1)
-    quotes = F.filter(F.transform(runs, lambda r: F.split(r, "\x1d", -1)), lambda r: r[0].cast("int") > 0)
-    some = F.exists("lines", lambda x: x["level"] > 0)
-    df = df.withColumn("quotes", F.when(some & (n > 0), quotes).otherwise(F.array().cast("array<array<string>>")))
-    whole = lambda r: F.array_join(F.slice(r, 2, 1_000_000), " ")
-    as_struct = lambda r: F.struct(r[0].cast("int").alias("level"), whole(r).alias("text"), F.slice(r, 2, 1_000_000).alias("lines"))
-    return df.select("conv_id", "turn", "role", F.trim(own).alias("own"), F.transform("quotes", as_struct).alias("quotes"))
+    leveled = F.transform(
+        F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, "\r$", "")),
+        lambda x: F.struct(level(x).alias("level"), F.when(level(x) > 0, F.ltrim(F.regexp_replace(x, MARKS, ""))).otherwise(x).alias("text")),
+    )
+
+    def kept(line: Column) -> Column:
+        deeper = lambda i: F.coalesce(F.get(line, i + 1)["level"], F.lit(0)) > line[i]["level"]
+        says = lambda i: deeper(i) & line[i]["text"].rlike(SAYS)
+        return F.filter(line, lambda x, i: ~says(i))
+
+    return bind(leveled, lambda line: kept(line))
+
+
+def _runs(line: Column) -> Column:
+    """struct(level, lines) of neighbouring lines of one level above 0."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(line) - 1), lambda i: (i == 0) | (line[i]["level"] != line[F.greatest(i - 1, F.lit(0))]["level"]))
+
+    def cut(at: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(at, k + 1), F.size(line))
+        texts = lambda k: F.transform(F.slice(line, at[k] + 1, end(k) - at[k]), lambda x: x["text"])
+        return F.transform(F.sequence(F.lit(0), F.size(at) - 1), lambda k: F.struct(line[at[k]]["level"].alias("level"), texts(k).alias("lines")))
+
+    return F.filter(bind(starts, lambda at: cut(at)), lambda r: r["level"] > 0)
+
+
+def parsed(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, own, quotes: array of struct(level, text, lines)."""
+
+    def parts(line: Column) -> Column:
+        own = F.array_join(F.transform(F.filter(line, lambda x: x["level"] == 0), lambda x: x["text"]), "\n")
+        none = F.array().cast("array<struct<level:int,lines:array<string>>>")
+        some = F.exists(line, lambda x: x["level"] > 0)
+        return F.struct(F.trim(own).alias("own"), F.when(some, _runs(line)).otherwise(none).alias("runs"))
+
+    df = messages.select("conv_id", "turn", "role", bind(_lines(text_of(messages)), lambda line: parts(line)).alias("p"))
+    whole = lambda r: F.struct(r["level"].alias("level"), F.array_join(r["lines"], " ").alias("text"), r["lines"].alias("lines"))
+    return df.select("conv_id", "turn", "role", "p.own", F.transform("p.runs", whole).alias("quotes"))
 
 
 def _passages(texts: Column) -> Column:
@@ -68,7 +91,7 @@ def _passages(texts: Column) -> Column:
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """One row per message: conv_id, turn, role, own, n_quotes, quote_levels, reply_conv, reply_turn, thread, depth."""
+    """One row per message: conv_id, turn, role, own, n_quotes, quote_levels, reply_conv, reply_turn, thread (its first turn), depth."""
     df = materialize(parsed(messages).withColumn("key", F.md5(F.concat_ws("\x1e", F.coalesce(F.col("role").cast("string"), F.lit("")), "own", F.to_json("quotes")).cast("binary"))))
     known = df.where("conv_id is not null and turn is not null")
     parts = known.select("conv_id", "turn", F.explode(_passages(F.concat(F.split("own", r"\n+", -1), F.array("own")))["hash"]).alias("hash"))
@@ -92,25 +115,25 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     links = materialize(links.where("to is not null").select("conv_id", "turn", "key", F.col("to.conv").alias("reply_conv"), F.col("to.turn").alias("reply_turn")))
     # threads: within a conversation, each turn points at the turn it answers
     up = links.where("reply_conv = conv_id").groupBy("conv_id", "turn").agg(F.min("reply_turn").alias("up"))
-    up = materialize(up.withColumn("path", F.array("turn")))
+    up = materialize(up.withColumn("far", F.lit(1).cast("long")))
     while True:
-        above = up.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
+        above = up.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
         step = up.join(above, ["conv_id", "up"], "left")
-        moved = materialize(step.select("conv_id", "turn", F.coalesce("up2", "up").alias("up"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"), F.col("up2").isNotNull().alias("more")))
+        moved = step.select("conv_id", "turn", F.coalesce("up2", "up").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("up2").isNotNull().alias("more"))
+        moved = materialize(moved)
         up = moved.drop("more")
         if not moved.where("more").take(1):
             break
-    threads = up.select("conv_id", "turn", F.concat(F.array("up"), "path").alias("thread"))
+    threads = up.select("conv_id", "turn", F.col("up").alias("thread"), "far")
     out = df.join(links, ["conv_id", "turn", "key"], "left").join(threads, ["conv_id", "turn"], "left")
-    thread = F.when(F.col("thread").isNull(), F.array("turn")).otherwise(F.col("thread"))
     return out.select(
         "conv_id", "turn", "role", "own", F.size("quotes").cast("long").alias("n_quotes"),
         F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0)).cast("long").alias("quote_levels"),
-        "reply_conv", "reply_turn", F.array_join(thread, "/").alias("thread"), F.size(thread).cast("long").alias("depth"), thread.alias("order_key"),
+        "reply_conv", "reply_turn", F.coalesce("thread", "turn").alias("thread"), (F.coalesce("far", F.lit(0)) + 1).cast("long").alias("depth"),
     )
 
 
 def chat_messages(messages: DataFrame) -> DataFrame:
-    """The messages as role-tagged text, to be sorted by conv_id and order_key."""
+    """The messages as role-tagged text, to be sorted by conv_id, thread and turn."""
     role = F.coalesce(F.col("role").cast("string"), F.lit("user"))
     return link_quotes(messages).withColumn("formatted", F.concat(F.lit("<|"), role, F.lit("|>\n"), "own", F.lit("\n<|end|>\n")))

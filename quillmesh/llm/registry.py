@@ -35,7 +35,7 @@ def op10_near_duplicates(spark, sf_dir):
 
 
 def op9_chat_threads(spark, sf_dir):
-    return chat.link_quotes(table(spark, sf_dir, "conversations")).drop("order_key")
+    return chat.link_quotes(table(spark, sf_dir, "conversations"))
 
 
 def op6_url_filters(spark, sf_dir):
