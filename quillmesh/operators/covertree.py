@@ -141,17 +141,18 @@ def _build(levels: int):
 class CoverTree:
     """A forest over a DataFrame of points(id, v)."""
 
-    def __init__(self, points: DataFrame, trees: DataFrame):
-        self.points, self.trees = points, trees
+    def __init__(self, points: DataFrame, trees: DataFrame, rows: int = TREE_ROWS):
+        self.points, self.trees, self.rows = points, trees, rows
 
     @classmethod
-    def from_matrix(cls, points: DataFrame, trunc: int = -1, dedup: bool = False) -> CoverTree:
+    def from_matrix(cls, points: DataFrame, trunc: int = -1, dedup: bool = False, rows: int = TREE_ROWS) -> CoverTree:
+        """A forest of trees of about so many rows; trunc keeps so many levels of each."""
         points = points.select(F.col("id").cast("long").alias("id"), vec.vector("v").alias("v"))
         if dedup:
             points = points.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
         points = written(points)
-        blocks = packed(points, "id", "v", max(1, -(-points.count() // TREE_ROWS)))
-        return cls(points, written(blocks.mapInArrow(_build(trunc), "block long, n long, tree binary")))
+        blocks = packed(points, "id", "v", max(1, -(-points.count() // rows)))
+        return cls(points, written(blocks.mapInArrow(_build(trunc), "block long, n long, tree binary")), rows)
 
     def insert(self, more: DataFrame) -> CoverTree:
         return CoverTree.from_matrix(self.points.unionByName(more.select("id", vec.vector("v").alias("v"))))

@@ -4,7 +4,8 @@ Sweeps are synchronous: within a sweep every document is sampled from the parame
 last one, then counts are aggregated. Documents and their topics stay in a written table;
 only word-topic counts (V x K numbers, at most MAX_CELLS) reach the driver and are broadcast
 back as emissions. Random numbers are a function of (seed, sweep, doc_id, position), so
-results do not depend on partitioning.
+results do not depend on partitioning. Tokens of one document are drawn one after the other
+where the model asks for it; the documents of a batch advance together, position by position.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,32 +27,84 @@ from .mixture import KAPPA0, NU0, SIGMA0
 
 MAX_CELLS = 200_000_000
 MAX_TOPICS = 2000
+#: Provisional topics that a sweep can find.
+NEW = 16
 STATE = "doc_id long, words array<int>, z array<int>"
 
 
-def per_doc(docs: DataFrame, function, schema: str, names: list[str], columns: list[str]) -> DataFrame:
-    """Maps function(doc_id, words, ...) -> tuple of the other columns over documents."""
+class Batch:
+    """Documents of a batch, the longest first: their tokens in one array, position i of the first live(i) documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            lists = [[np.asarray(x.values if x.values is not None else [], np.int64) for x in batch.column(i)] for i in range(1, batch.num_columns)]
-            rows = [(d, *function(d, *[c[i] for c in lists])) for i, d in enumerate(ids)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+    def __init__(self, ids: np.ndarray, lists: list[np.ndarray], values: list[np.ndarray]):
+        """lists: start offsets and values of every column, all of the lengths of the first one (the words)."""
+        sizes = np.diff(lists[0])
+        self.order = np.argsort(-sizes, kind="stable")
+        self.ids, self.sizes = ids[self.order], sizes[self.order]
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(ids)), self.sizes)
+        self.pos = np.arange(self.starts[-1]) - self.starts[self.doc]
+        at = lists[0][self.order][self.doc] + self.pos
+        self.columns = [v[at] for v in values]
+
+    def uniform(self, seed: int, step: int, shift: int = 0) -> np.ndarray:
+        """A number per token, a function of document and position."""
+        return uniform_np(seed, step, self.ids[self.doc], self.pos + shift)
+
+    def positions(self) -> Iterator[np.ndarray]:
+        """Places of all tokens at position 0, 1, ...: row d belongs to document d."""
+        live = np.searchsorted(-self.sizes, -np.arange(int(self.sizes[0]) if len(self.sizes) else 0), "left")
+        for i, n in enumerate(live):
+            yield self.starts[:n] + i
+
+    def counts(self, z: np.ndarray, k: int) -> np.ndarray:
+        return np.bincount(self.doc * k + z, minlength=len(self.ids) * k).reshape(-1, k)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, values, len(self.ids))
+
+    def lists(self, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(self.starts, pa.int32()), pa.array(values.astype(np.int32)))
 
-    return docs.select(*columns).mapInArrow(run, schema)
+
+#: Documents and tokens that are sampled together at most (a longer document is alone).
+BATCH_DOCS, BATCH_TOKENS = 2048, 1 << 18
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.fill_null([]) if column.null_count else column
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return offsets, column.values.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def per_batch(docs: DataFrame, function, schema: str, names: list[str], columns: list[str], extra: str | None = None) -> DataFrame:
+    """Maps function(batch[, lists of the extra column]) -> doc_ids and arrays of the other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(rows.column(1)), 0).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < len(rows):
+                upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + BATCH_DOCS]), BATCH_TOKENS, "right")))
+                part = rows.slice(at, upto - at)
+                at = upto
+                flat = [_flat(part.column(i)) for i in range(1, len(columns))]
+                batch = Batch(part.column(0).to_numpy(), [f[0] for f in flat], [f[1] for f in flat])
+                more = ([part.column(len(columns)).to_pylist()[i] or [] for i in batch.order],) if extra else ()
+                ids, *out = function(batch, *more)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *out], names=names)
+
+    return docs.select(*columns, *([extra] if extra else [])).mapInArrow(run, schema)
 
 
 def init_topics(docs: DataFrame, k: int, seed: int, spread: int = 15) -> DataFrame:
     """First topics: (doc_id + a draw below spread) modulo k, or uniform where spread is 0."""
 
-    def draw(doc_id: int, words: np.ndarray):
-        u = uniform_np(seed, 0, doc_id, np.arange(len(words)))
-        z = (u * k).astype(np.int64) if not spread else (doc_id + (u * spread).astype(np.int64)) % k
-        return words.astype(np.int32), z.astype(np.int32)
+    def draw(batch: Batch):
+        u = batch.uniform(seed, 0)
+        z = (u * k).astype(np.int64) if not spread else (batch.ids[batch.doc] + (u * spread).astype(np.int64)) % k
+        return batch.ids, batch.lists(batch.columns[0]), batch.lists(z)
 
-    return written(per_doc(docs, draw, STATE, ["doc_id", "words", "z"], ["doc_id", "words"]))
+    return written(per_batch(docs, draw, STATE, ["doc_id", "words", "z"], ["doc_id", "words"]))
 
 
 def word_topic_counts(state: DataFrame) -> DataFrame:
@@ -77,52 +131,68 @@ def sweep(state: DataFrame, emission: np.ndarray, prior: np.ndarray, seed: int,
     """Resamples every token with odds (n_dk + prior_k) * emission[word, k]."""
     shared = state.sparkSession.sparkContext.broadcast(emission)
     k = emission.shape[1]
+    rows = max(1, (1 << 23) // k)
+
+    def draw(batch: Batch):
+        words, z = batch.columns
+        n, u, new = batch.counts(z, k) + prior, batch.uniform(seed, step), np.empty(len(z), np.int64)
+        for at in range(0, len(words), rows):
+            s = slice(at, at + rows)
+            cum = np.cumsum(n[batch.doc[s]] * shared.value[words[s]], 1)
+            new[s] = np.minimum((cum < u[s, None] * cum[:, -1:]).sum(1), k - 1)
+        return batch.ids, batch.lists(words), batch.lists(new)
 
-    def draw(doc_id: int, words: np.ndarray, z: np.ndarray):
-        if not len(words):
-            return words.astype(np.int32), z.astype(np.int32)
-        cum = np.cumsum((np.bincount(z, minlength=k) + prior) * shared.value[words], 1)
-        u = uniform_np(seed, step, doc_id, np.arange(len(words)))
-        new = (cum < u[:, None] * cum[:, -1:]).sum(1)
-        return words.astype(np.int32), np.minimum(new, k - 1).astype(np.int32)
+    return written(per_batch(state, draw, STATE, ["doc_id", "words", "z"], ["doc_id", "words", "z"]))
 
-    return written(per_doc(state, draw, STATE, ["doc_id", "words", "z"], ["doc_id", "words", "z"]))
 
+def fold_in(docs: DataFrame, emission: np.ndarray, prior: np.ndarray, seed: int, sweeps: int, rest: float = 0.0, mass: float | None = None) -> DataFrame:
+    """doc_id, words, z, score (summed log likelihood), size after collapsed sweeps over unseen documents.
 
-def fold_in(docs: DataFrame, emission: np.ndarray, prior: np.ndarray, seed: int, sweeps: int) -> DataFrame:
-    """doc_id, words, z, score (summed log likelihood), size after collapsed sweeps over unseen documents."""
+    rest is what topics that are not there yet give to any word, mass the prior's in all.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(emission)
-    k, mass = emission.shape[1], float(prior.sum())
-
-    def draw(doc_id: int, words: np.ndarray):
-        words = words[(words >= 0) & (words < len(shared.value))]
-        e = shared.value[words]
-        u = uniform_np(seed, 1, doc_id, np.arange(len(words)))
-        z = np.minimum((u * k).astype(np.int64), k - 1)
-        n = np.bincount(z, minlength=k).astype(float)
+    k, total = emission.shape[1], float(prior.sum()) if mass is None else mass
+
+    def draw(batch: Batch):
+        e = shared.value
+        known = (batch.columns[0] >= 0) & (batch.columns[0] < len(e))
+        if not known.all():
+            starts = np.concatenate([[0], np.cumsum(batch.sums(known).astype(np.int64))])
+            batch = Batch(batch.ids, [starts], [batch.columns[0][known]])
+        words = batch.columns[0]
+        z = np.minimum((batch.uniform(seed, 1) * k).astype(np.int64), k - 1)
+        n = batch.counts(z, k).astype(float)
         for s in range(sweeps):
-            u = uniform_np(seed, s + 2, doc_id, np.arange(len(words)))
-            for i in range(len(words)):
-                n[z[i]] -= 1
-                cum = np.cumsum((n + prior) * e[i])
-                z[i] = min(int(np.searchsorted(cum, u[i] * cum[-1])), k - 1)
-                n[z[i]] += 1
-        score = float(np.log(((n + prior) * e).sum(1) + 1e-300).sum() - len(words) * np.log(len(words) + mass)) if len(words) else 0.0
-        return words.astype(np.int32), z.astype(np.int32), score, len(words)
+            u = batch.uniform(seed, s + 2)
+            for at in batch.positions():
+                row = np.arange(len(at))
+                n[row, z[at]] -= 1
+                cum = np.cumsum((n[: len(at)] + prior) * e[words[at]], 1)
+                z[at] = np.minimum((cum < u[at, None] * cum[:, -1:]).sum(1), k - 1)
+                n[row, z[at]] += 1
+        return batch.ids, batch.lists(words), batch.lists(z), pa.array(_scores(batch, n + prior, e, rest, total)), pa.array(batch.sizes)
+
+    return written(per_batch(docs, draw, STATE + ", score double, size long", ["doc_id", "words", "z", "score", "size"], ["doc_id", "words"]))
 
-    return written(per_doc(docs, draw, STATE + ", score double, size long", ["doc_id", "words", "z", "score", "size"], ["doc_id", "words"]))
 
+def _scores(batch: Batch, n: np.ndarray, e: np.ndarray, rest: float, total: float) -> np.ndarray:
+    words, out = batch.columns[0], np.empty(len(batch.columns[0]))
+    rows = max(1, (1 << 23) // n.shape[1])
+    for at in range(0, len(words), rows):
+        s = slice(at, at + rows)
+        out[s] = np.log((n[batch.doc[s]] * e[words[s]]).sum(1) + rest + 1e-300)
+    return batch.sums(out) - batch.sizes * np.log(batch.sizes + total)
 
-def score_given_topics(state: DataFrame, emission: np.ndarray, prior: np.ndarray) -> float:
+
+def score_given_topics(state: DataFrame, emission: np.ndarray, prior: np.ndarray, rest: float = 0.0, mass: float | None = None) -> float:
     """Log likelihood per word of documents whose topics are given."""
-    shared, mass = state.sparkSession.sparkContext.broadcast(emission), float(prior.sum())
+    shared, total = state.sparkSession.sparkContext.broadcast(emission), float(prior.sum()) if mass is None else mass
     k = emission.shape[1]
 
-    def score(doc_id: int, words: np.ndarray, z: np.ndarray):
-        n = np.bincount(z, minlength=k) + prior
-        return (float(np.log((n * shared.value[words]).sum(1)).sum() - len(words) * np.log(len(words) + mass)) if len(words) else 0.0), len(words)
+    def score(batch: Batch):
+        return batch.ids, pa.array(_scores(batch, batch.counts(batch.columns[1], k) + prior, shared.value, rest, total)), pa.array(batch.sizes)
 
-    out = per_doc(state, score, "doc_id long, score double, size long", ["doc_id", "score", "size"], ["doc_id", "words", "z"]).agg(F.sum("score"), F.sum("size")).first()
+    out = per_batch(state, score, "doc_id long, score double, size long", ["doc_id", "score", "size"], ["doc_id", "words", "z"]).agg(F.sum("score"), F.sum("size")).first()
     return float(out[0] or 0.0) / max(out[1] or 0, 1)
 
 
@@ -256,8 +326,9 @@ class GLDA(_Topics):
 class HDP(_Topics):
     """Topics without a fixed number; method 'simple' (direct assignment) or 'stc' (tables).
 
-    All documents of a sweep share one provisional new topic, kept if any token chose it; a
-    frozen-count approximation of sequential sampling.
+    In a sweep every document may open a new topic. Documents are dealt to NEW provisional
+    ones by a hash of (seed, sweep, doc_id), so that a sweep can find up to NEW topics; those
+    that any token chose are kept. This is a frozen-count approximation of sequential sampling.
     """
 
     def __init__(self, k: int, iters: int, vocab: DataFrame, alpha: float = 50.0, beta: float = 0.1, gamma: float = 1.0, method: str = "simple", seed: int = 0):
@@ -272,63 +343,90 @@ class HDP(_Topics):
     def prior(self) -> np.ndarray:
         return self.alpha * self.tau
 
+    def rest(self) -> float:
+        """What a topic that is not there yet gives to any word."""
+        return self.alpha * self.left / max(len(self.words), 1)
+
+    def evaluate(self, docs: DataFrame, sweeps: int = 50) -> float:
+        """Log likelihood per word of held-out documents, with the new topic's share; alpha is the whole prior."""
+        out = fold_in(docs, self.phi, self.prior(), self.seed, sweeps, self.rest(), self.alpha).agg(F.sum("score"), F.sum("size")).first()
+        return float(out[0] or 0.0) / max(out[1] or 0, 1)
+
     def _sweep(self, state: DataFrame, step: int) -> DataFrame:
         v, k, seed = len(self.words), self.k, self.seed
         shared = state.sparkSession.sparkContext.broadcast(self.phi)
-        alpha, tau, left, method, gamma = self.alpha, self.tau, self.left, self.method, self.gamma
+        alpha, tau, left, gamma = self.alpha, self.tau, self.left, self.gamma
         total = float(self.tables.sum())
         share = alpha * self.tables**2 / (self.tables + 1) / (total + gamma)
 
-        def direct(doc_id: int, words: np.ndarray, z: np.ndarray, _: np.ndarray):
-            n = np.bincount(z, minlength=k + 1).astype(float)
-            u = uniform_np(seed, step, doc_id, np.arange(len(words)))
+        def finished(batch: Batch, z: np.ndarray, t: np.ndarray):
+            """The new topic of each document at its provisional place."""
+            slot = (uniform_np(seed, step, batch.ids, np.full(len(batch.ids), -1)) * NEW).astype(np.int64)
+            wide = np.zeros((len(batch.ids), k + NEW), np.int64)
+            wide[:, :k] = t[:, :k]
+            wide[np.arange(len(slot)), k + slot] = t[:, k]
+            z = np.where(z == k, k + slot[batch.doc], z)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(slot) + 1) * (k + NEW), pa.int32()), pa.array(wide.reshape(-1).astype(np.int32)))
+            return batch.ids, batch.lists(batch.columns[0]), batch.lists(z), flat
+
+        def direct(batch: Batch, _):
+            words, z = batch.columns
+            z, n, u = z.copy(), batch.counts(z, k + 1).astype(float), batch.uniform(seed, step)
             odds = np.append(alpha * tau, 0.0)
-            for i, w in enumerate(words):
-                n[z[i]] -= 1
-                e = np.append(shared.value[w], 1 / v)
-                p = (n + odds) * e
-                p[k] += alpha * left / v
-                cum = np.cumsum(p)
-                z[i] = min(int(np.searchsorted(cum, u[i] * cum[-1])), k)
-                n[z[i]] += 1
-            rng = np.random.default_rng([seed, step, doc_id & 0x7FFFFFFF])
-            full = np.append(tau, left)
-            t = [crp_tables(int(n[j]), alpha * full[j], rng) if n[j] else 0 for j in range(k + 1)]
-            return words.astype(np.int32), z.astype(np.int32), np.array(t, np.int32)
-
-        def seated(doc_id: int, words: np.ndarray, z: np.ndarray, t: np.ndarray):
-            ratios = _STIRLING
-            n = np.bincount(z, minlength=k + 1).astype(np.int64)
-            t = np.minimum(np.maximum(np.pad(t, (0, max(0, k + 1 - len(t))))[: k + 1], n > 0), n)
-            u = uniform_np(seed, step, doc_id, np.arange(2 * len(words))).reshape(2, -1)
-            for i, w in enumerate(words):
-                j = z[i]
+            for at in batch.positions():
+                row = np.arange(len(at))
+                n[row, z[at]] -= 1
+                e = np.concatenate([shared.value[words[at]], np.full((len(at), 1), 1 / v)], 1)
+                p = (n[: len(at)] + odds) * e
+                p[:, k] += alpha * left / v
+                cum = np.cumsum(p, 1)
+                z[at] = np.minimum((cum < u[at, None] * cum[:, -1:]).sum(1), k)
+                n[row, z[at]] += 1
+            full, t = np.append(tau, left), np.zeros((len(batch.ids), k + 1), np.int64)
+            for d, doc_id in enumerate(batch.ids):
+                rng = np.random.default_rng([seed, step, int(doc_id) & 0x7FFFFFFF])
+                for j in np.flatnonzero(n[d]):
+                    t[d, j] = crp_tables(int(n[d, j]), alpha * full[j], rng)
+            return finished(batch, z, t)
+
+        def seated(batch: Batch, before: list):
+            words, z = batch.columns
+            z, n = z.copy(), batch.counts(z, k + 1)
+            t = np.zeros_like(n)
+            for d, have in enumerate(before):
+                t[d, : min(len(have), k)] = have[:k]
+            t = np.minimum(np.maximum(t, n > 0), n)
+            u, leave = batch.uniform(seed, step), batch.uniform(seed, step, 1 << 24)
+            for at in batch.positions():
+                live, row = len(at), np.arange(len(at))
+                j = z[at]
+                mine, tables = n[row, j], t[row, j]
                 # the customer leaves; with odds t / n the table was theirs alone
-                if t[j] == n[j] or (t[j] > 1 and u[1, i] < (t[j] - 1) / n[j]):
-                    t[j] -= 1
-                n[j] -= 1
-                p = np.zeros((2, k + 1))
-                e = np.append(shared.value[w], 1 / v)
-                for c in range(k + 1):
-                    if n[c]:
-                        p[0, c] = ratios.u(int(n[c]), int(t[c])) * (n[c] + 1 - t[c]) / (n[c] + 1) * e[c]
-                    if c < k:
-                        grow = ratios.w(int(n[c]), int(t[c])) if n[c] else 1.0
-                        p[1, c] = share[c] * e[c] * grow * (t[c] + 1) / (n[c] + 1)
-                p[1, k] = alpha * gamma / v / (total + gamma)
-                cum = np.cumsum(p.ravel())
-                at = min(int(np.searchsorted(cum, u[0, i] * cum[-1])), 2 * k + 1)
-                z[i] = at % (k + 1)
-                n[z[i]] += 1
-                t[z[i]] += at > k
-                t[z[i]] = max(t[z[i]], 1)
-            return words.astype(np.int32), z.astype(np.int32), t.astype(np.int32)
-
-        return written(per_doc(state, direct if method == "simple" else seated, STATE + ", t array<int>", ["doc_id", "words", "z", "t"], ["doc_id", "words", "z", "t"]))
+                alone = (tables == mine) | ((tables > 1) & (leave[at] * mine < tables - 1))
+                t[row, j] -= alone
+                n[row, j] -= 1
+                a, b = n[:live], t[:live]
+                some = a > 0
+                grow, join = np.ones((live, k + 1)), np.zeros((live, k + 1))
+                join[some], grow[some] = _STIRLING.ratios(a[some], np.minimum(np.maximum(b[some], 1), a[some]))
+                e = np.concatenate([shared.value[words[at]], np.full((live, 1), 1 / v)], 1)
+                old = join * (a + 1 - b) / (a + 1) * e
+                new = np.empty((live, k + 1))
+                new[:, :k] = share * e[:, :k] * grow[:, :k] * (b[:, :k] + 1) / (a[:, :k] + 1)
+                new[:, k] = alpha * gamma / v / (total + gamma)
+                cum = np.cumsum(np.concatenate([old, new], 1), 1)
+                to = np.minimum((cum < u[at, None] * cum[:, -1:]).sum(1), 2 * k + 1)
+                z[at] = j = to % (k + 1)
+                n[row, j] += 1
+                t[row, j] = np.maximum(t[row, j] + (to > k), 1)
+            return finished(batch, z, t)
+
+        rule = direct if self.method == "simple" else seated
+        return written(per_batch(state, rule, STATE + ", t array<int>", ["doc_id", "words", "z", "t"], ["doc_id", "words", "z"], "t"))
 
     def _reconcile(self, state: DataFrame, step: int) -> DataFrame:
-        """Counts, tables and sticks; empty topics go, the provisional one stays if used."""
-        width = self.k + 1
+        """Counts, tables and sticks; empty topics go, provisional ones stay if used."""
+        width = self.k + NEW
         counts = count_matrix(state, len(self.words), width)
         tables = np.zeros(width)
         for r in state.select(F.posexplode("t").alias("k", "t")).groupBy("k").agg(F.sum("t").alias("t")).collect():

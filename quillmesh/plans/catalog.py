@@ -119,6 +119,69 @@ def tree_insert_remove(spark, sf_dir):
     return tree.nearest(asked(spark, sf_dir)).select("qid", "id", r6("dist"))
 
 
+FOREST_ROWS = 150
+
+
+def forest(spark, sf_dir, where: str = "true") -> covertree.CoverTree:
+    """Trees of so few rows that every table makes several."""
+    return covertree.CoverTree.from_matrix(points(spark, sf_dir).where(where), rows=FOREST_ROWS)
+
+
+@query
+def forest_knn_k3(spark, sf_dir):
+    return forest(spark, sf_dir).k_nearest(asked(spark, sf_dir), 3).select("qid", "rank", "id", r6("dist"))
+
+
+@query
+def forest_range_search(spark, sf_dir):
+    return forest(spark, sf_dir).range_search(asked(spark, sf_dir), RADIUS).select("qid", "id", r6("dist"))
+
+
+@query
+def forest_insert_remove(spark, sf_dir):
+    """Odd rows are inserted into a forest, rows divisible by three removed from it."""
+    pts = points(spark, sf_dir).select("id", "v")
+    trees = forest(spark, sf_dir, "id % 2 = 0").insert(pts.where("id % 2 = 1"))
+    trees, _ = trees.remove(pts.where("id % 3 = 0"))
+    return trees.nearest(asked(spark, sf_dir)).select("qid", "id", r6("dist"))
+
+
+@query
+def tree_root(spark, sf_dir):
+    """The root of one tree of all points, its furthest descendant and its level."""
+    nodes = covertree.CoverTree.from_matrix(points(spark, sf_dir), rows=1 << 40).nodes()
+    return nodes.where("parent is null").select("id", r6("max_dist"), "level")
+
+
+@query
+def tree_nodes_checked(spark, sf_dir):
+    """Per point: its number of nodes, and whether they keep to what a cover tree is."""
+    nodes = written(forest(spark, sf_dir).nodes())
+    v = written(points(spark, sf_dir).select("id", "v"))
+    up = nodes.select(F.col("block").alias("b"), F.col("id").alias("p"), F.col("level").alias("p_level"), F.col("max_dist").alias("p_max"))
+    both = nodes.join(up, (F.col("block") == F.col("b")) & (F.col("parent") == F.col("p")), "left").join(v, "id")
+    both = both.join(v.select(F.col("id").alias("p"), F.col("v").alias("pv")), "p", "left")
+    d = vec.l2(F.col("v"), F.col("pv"))
+    holds = lambda c: F.bool_and(F.coalesce(c, F.lit(True)))
+    near = d <= F.pow(F.lit(covertree.BASE), F.col("p_level").cast("double")) + 1e-9
+    return both.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), holds(near).alias("near_parent"), holds(F.col("level") < F.col("p_level")).alias("levels_fall"), holds(d <= F.col("p_max") + 1e-9).alias("radius_holds")
+    )
+
+
+@query
+def tree_level_total(spark, sf_dir):
+    return forest(spark, sf_dir).level_counts().agg(F.sum("n").alias("n"))
+
+
+@query
+def tree_spread_checked(spark, sf_dir):
+    """Spread-out seeds are rows of the table, all different."""
+    found = rows_of(spark, [(c.tolist(),) for c in seeds.spread_out(points(spark, sf_dir), K)], "v array<double>")
+    member = points(spark, sf_dir).select("v").distinct().withColumn("known", F.lit(1))
+    return found.join(member, "v", "left").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("distinct_rows"), F.count("known").alias("members"))
+
+
 @query
 def tree_merge_distinct(spark, sf_dir):
     """Merging a forest with itself drops exact duplicates."""
@@ -199,7 +262,7 @@ def kmeanspp_d2_weights(spark, sf_dir):
 
 @query
 def kmeanspp_seeds(spark, sf_dir):
-    return rows_of(spark, [(i, c.tolist()) for i, c in enumerate(seeds.plus_plus(points(spark, sf_dir), K, 3))], "k int, v array<double>")
+    return long_form(rows_of(spark, [(i, c.tolist()) for i, c in enumerate(seeds.plus_plus(points(spark, sf_dir), K, 3))], "k int, v array<double>"), "k", "v", "x")
 
 
 # --- k-means
@@ -328,7 +391,13 @@ def gmm_score_lse(spark, sf_dir):
 
 @query
 def gmm_fit_soft(spark, sf_dir):
-    return gmm(spark, sf_dir, "soft", 5).get_centers(spark)
+    return long_centers(gmm(spark, sf_dir, "soft", 5).get_centers(spark), "log_pi")
+
+
+def long_centers(df: DataFrame, *more: str) -> DataFrame:
+    """k, pos, mean, var of centres with array columns v and var."""
+    rows = df.select("k", *more, F.posexplode(F.arrays_zip("v", "var")).alias("pos", "x"))
+    return rows.select("k", "pos", F.round("x.v", 6).alias("mean"), F.round("x.var", 6).alias("var"), *[r6(c) for c in more])
 
 
 # --- corpora
@@ -413,6 +482,16 @@ def synthetic_points(spark, sf_dir):
     return binary.synthetic_clusters(spark, 10_000, 16, 10)
 
 
+@query
+def synthetic_points_checked(spark, sf_dir):
+    """Counts of synthetic points, and whether each lies around the mean of its label."""
+    pts = written(binary.synthetic_clusters(spark, 10_000, 16, 10))
+    each = pts.select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.stddev("x").alias("s"))
+    near = each.agg(F.bool_and(F.col("s").between(0.9, 1.1)).alias("near_means"))
+    sizes = pts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.max(F.size("v")).alias("dim"), F.count_distinct("label").alias("labels"))
+    return sizes.crossJoin(near)  # one row each
+
+
 # --- topic models
 
 
@@ -485,7 +564,55 @@ def glda_fit(spark, sf_dir):
     words, vocab = coded(spark, sf_dir, "conversations")
     model = topics.GLDA(G, 3, vocab, word_vectors(spark, sf_dir, vocab), seed=7)
     model.fit(words)
-    return model.get_topic_matrix(spark)
+    return long_centers(model.get_topic_matrix(spark))
+
+
+@query
+def lda_fit_counts(spark, sf_dir):
+    """Word and topic counts after three sweeps."""
+    words, vocab = coded(spark, sf_dir, "conversations")
+    model = topics.LDA(T, 3, vocab, seed=7)
+    model.fit(words)
+    return topics.word_topic_counts(model.state)
+
+
+@query
+def lda_predict_sizes(spark, sf_dir):
+    """Per document: tokens that got a topic, and whether all are topics of the model."""
+    words, vocab = coded(spark, sf_dir, "conversations")
+    model = topics.LDA(T, 2, vocab, seed=7)
+    model.fit(words)
+    return model.predict(words, 2).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("topic").between(0, T - 1)).alias("in_range"))
+
+
+def hdp_totals(spark, sf_dir, method: str) -> DataFrame:
+    words, vocab = coded(spark, sf_dir, "conversations")
+    model = topics.HDP(G, 2, vocab, method=method, seed=7)
+    model.fit(words)
+    counts = topics.word_topic_counts(model.state)
+    return counts.agg(F.sum("n").alias("n"), F.bool_and(F.col("k").between(0, model.k - 1)).alias("in_range"))
+
+
+@query
+def hdp_simple_totals(spark, sf_dir):
+    """Tokens with a topic after two sweeps, and whether all are active ones."""
+    return hdp_totals(spark, sf_dir, "simple")
+
+
+@query
+def hdp_stc_totals(spark, sf_dir):
+    return hdp_totals(spark, sf_dir, "stc")
+
+
+@query
+def hdp_heldout_given_z(spark, sf_dir):
+    """The held-out score with the share of topics that are not there yet, topics given."""
+    words, vocab = coded(spark, sf_dir, "conversations")
+    model = topics.HDP(G, 0, vocab, seed=7)
+    state = topics.init_topics(words, G, 7)
+    counts = topics.count_matrix(state, len(model.words), G)
+    phi = (counts + model.beta) / (counts.sum(0) + len(model.words) * model.beta)
+    return rows_of(spark, [(round(topics.score_given_topics(state, phi, model.prior(), model.rest(), model.alpha), 6),)], "score double")
 
 
 @query

@@ -16,11 +16,25 @@ PAIRS = f"{PTS}, pairs AS (SELECT qid, id, label, list_distance(qv, v) AS dist F
 WITH_SELF = f"{PTS}, ranked AS (SELECT qid, id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM (SELECT qid, id, list_distance(qv, v) AS dist FROM asked, pts))"
 ENTRIES = f"{PTS}, entries AS (SELECT id, unnest(range(len(v)))::INT AS pos, unnest(v) AS x FROM pts)"
 MOMENTS = f"{ENTRIES}, moments AS (SELECT pos, avg(x) AS mean, var_pop(x) AS var FROM entries GROUP BY pos)"
+TALK = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"
 LINES = "list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
 
 
-def centers_after(steps: int) -> str:
-    parts = [ENTRIES, f"c0 AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS k, v FROM (SELECT * FROM pts ORDER BY id LIMIT {K}))"]
+FIRST_K = [f"c0 AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS k, v FROM (SELECT * FROM pts ORDER BY id LIMIT {K}))"]
+
+
+def plus_plus(k: int, seed: int) -> list[str]:
+    """k-means++ seeds as c0(k, v): every step draws by the least of -ln(u) / d2."""
+    parts = [f"seed0 AS MATERIALIZED (SELECT id, v FROM pts ORDER BY {uniform_sql(seed, 0, 'id', '1')}, id LIMIT 1)"]
+    parts.append("odds1 AS MATERIALIZED (SELECT pts.id, pts.v, power(list_distance(pts.v, seed0.v), 2) AS d2 FROM pts, seed0)")
+    for step in range(1, k):
+        parts.append(f"seed{step} AS MATERIALIZED (SELECT id, v FROM odds{step} WHERE d2 > 0 ORDER BY -ln(greatest({uniform_sql(seed, step, 'id', '2')}, 1e-12)) / d2, id LIMIT 1)")
+        parts.append(f"odds{step + 1} AS MATERIALIZED (SELECT w.id, w.v, least(w.d2, power(list_distance(w.v, s.v), 2)) AS d2 FROM odds{step} w, seed{step} s)")
+    return [*parts, "c0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {i}::INT AS k, v FROM seed{i}" for i in range(k)) + ")"]
+
+
+def centers_after(steps: int, first: list[str] = FIRST_K) -> str:
+    parts = [ENTRIES, *first]
     for s in range(steps):
         parts.append(f"a{s} AS (SELECT id, arg_min(k, (d, k)) AS k FROM (SELECT id, k, list_distance(pts.v, c{s}.v) AS d FROM pts, c{s}) GROUP BY id)")
         parts.append(f"s{s} AS (SELECT k, pos, sum(x) / (count(*) + {KAPPA0}) AS x FROM entries JOIN a{s} USING (id) GROUP BY k, pos)")
@@ -49,6 +63,23 @@ def mstep(assigned: str) -> str:
     )
 
 
+def soft_em(steps: int) -> str:
+    """c(k, pos, mean, var, log_pi) after so many steps of EM with whole responsibilities, from the first points."""
+    first = "SELECT m0.k, c.pos, c.x AS mean, moments.var, -ln(%d::DOUBLE) AS log_pi FROM m0 JOIN entries c ON c.id = m0.cid JOIN moments USING (pos)" % G
+    parts = [MOMENTS, f"m0 AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS k, id AS cid FROM (SELECT id FROM pts ORDER BY id LIMIT {G}))", f"g0 AS MATERIALIZED ({first})"]
+    for s in range(steps):
+        parts.append(f"l{s} AS (SELECT e.id, g.k, any_value(g.log_pi) + sum(0.5 * ln(0.5 / g.var) - 0.5 / g.var * (e.x - g.mean) * (e.x - g.mean)) AS s FROM entries e JOIN g{s} g USING (pos) GROUP BY e.id, g.k)")
+        parts.append(f"e{s} AS (SELECT id, k, exp(s - max(s) OVER (PARTITION BY id)) AS p FROM l{s})")
+        parts.append(f"r{s} AS MATERIALIZED (SELECT id, k, p / sum(p) OVER (PARTITION BY id) AS p FROM e{s})")
+        parts.append(f"t{s} AS (SELECT k, pos, sum(p) AS n, sum(p * x) AS s1, sum(p * x * x) AS s2 FROM r{s} JOIN entries USING (id) GROUP BY k, pos)")
+        mean = f"s1 / (n + {KAPPA0})"
+        parts.append(
+            f"g{s + 1} AS MATERIALIZED (SELECT k, pos, {mean} AS mean, (s2 - (n + {KAPPA0}) * power({mean}, 2) + {NU0 * SIGMA0}) / ({3 + NU0} + n) AS var,"
+            f" ln(n + 1.0) - ln((SELECT count(*) FROM pts) + {float(G)}) AS log_pi FROM t{s})"
+        )
+    return "WITH " + ", ".join(parts)
+
+
 def tokens(source: str = "(SELECT doc_id, text FROM documents)") -> str:
     return f"WITH tokens AS (SELECT doc_id, unnest(range(len(ws)))::INT AS pos, unnest(ws) AS word FROM (SELECT doc_id, {LINES} AS ws FROM {source}))"
 
@@ -69,6 +100,48 @@ def started(k: int, source: str = "(SELECT doc_id, text FROM documents)") -> str
     return f"{coded(source)}, z AS (SELECT doc_id, pos, word_id, {draw} AS topic FROM coded)"
 
 
+def lda_after(steps: int, source: str) -> str:
+    """z{steps}(doc_id, pos, word_id, topic) after so many synchronous sweeps from z."""
+    parts = [started(T, source).replace("WITH ", "", 1), f"ks AS (SELECT unnest(range({T}))::INT AS k)", "z0 AS MATERIALIZED (SELECT * FROM z)"]
+    for s in range(steps):
+        parts.append(f"nw{s} AS (SELECT word_id, topic AS k, count(*) AS n FROM z{s} GROUP BY ALL)")
+        parts.append(f"nk{s} AS (SELECT k, sum(n) AS n FROM nw{s} GROUP BY k)")
+        parts.append(
+            f"p{s} AS MATERIALIZED (SELECT v.word_id, ks.k, (coalesce(a.n, 0) + 0.1) / (coalesce(b.n, 0) + (SELECT count(*) FROM vocab) * 0.1::DOUBLE) AS p"
+            f" FROM vocab v CROSS JOIN ks LEFT JOIN nw{s} a ON a.word_id = v.word_id AND a.k = ks.k LEFT JOIN nk{s} b ON b.k = ks.k)"
+        )
+        parts += resampled(s, f"p{s}", 50.0 / T, T)
+    return "WITH " + ", ".join(parts)
+
+
+def resampled(s: int, weight: str, prior: float, k: int) -> list[str]:
+    """z{s + 1} from z{s}: every token anew with odds (n_dk + prior) * weight."""
+    return [
+        f"nd{s} AS (SELECT doc_id, topic AS k, count(*) AS n FROM z{s} GROUP BY ALL)",
+        f"m{s} AS (SELECT z.doc_id, z.pos, z.word_id, ks.k, sum((coalesce(n, 0) + {prior}) * p) OVER (PARTITION BY z.doc_id, z.pos ORDER BY ks.k) AS c"
+        f" FROM z{s} z CROSS JOIN ks LEFT JOIN nd{s} d ON d.doc_id = z.doc_id AND d.k = ks.k JOIN {weight} w ON w.word_id = z.word_id AND w.k = ks.k)",
+        f"z{s + 1} AS MATERIALIZED (SELECT doc_id, pos, word_id, least(count(*) FILTER (WHERE c < u * top), {k - 1})::INT AS topic FROM"
+        f" (SELECT *, max(c) OVER (PARTITION BY doc_id, pos) AS top, {uniform_sql(7, s + 1, 'doc_id', 'pos')} AS u FROM m{s}) GROUP BY doc_id, pos, word_id)",
+    ]
+
+
+def glda_after(steps: int) -> str:
+    """g(k, pos, mean, var) of topics as Gaussians over word vectors, after so many sweeps."""
+    parts = [started(G, TALK).replace("WITH ", "", 1), f"ks AS (SELECT unnest(range({G}))::INT AS k)", "z0 AS MATERIALIZED (SELECT * FROM z)"]
+    parts.append("vecs AS (SELECT word_id, embedding::DOUBLE[] AS v FROM vocab JOIN embeddings ON word_id % (SELECT count(*) FROM embeddings) = vec_id)")
+    parts.append("ve AS MATERIALIZED (SELECT word_id, unnest(range(len(v)))::INT AS pos, unnest(v) AS x FROM vecs)")
+    for s in range(steps + 1):
+        mean = f"s1 / (n + {KAPPA0})"
+        parts.append(f"h{s} AS (SELECT topic AS k, ve.pos, count(*) AS n, sum(x) AS s1, sum(x * x) AS s2 FROM z{s} z JOIN ve ON ve.word_id = z.word_id GROUP BY topic, ve.pos)")
+        parts.append(f"f{s} AS (SELECT ks.k, d.pos, coalesce(n, 0) AS n, coalesce(s1, 0) AS s1, coalesce(s2, 0) AS s2 FROM ks CROSS JOIN (SELECT DISTINCT pos FROM ve) d LEFT JOIN h{s} h ON h.k = ks.k AND h.pos = d.pos)")
+        parts.append(f"g{s} AS MATERIALIZED (SELECT k, pos, {mean} AS mean, (s2 - (n + {KAPPA0}) * power({mean}, 2) + {NU0 * SIGMA0}) / ({3 + NU0} + n) AS var FROM f{s})")
+        if s < steps:
+            parts.append(f"l{s} AS (SELECT a.word_id, g.k, sum(0.5 * ln(0.5 / g.var) - 0.5 / g.var * (a.x - g.mean) * (a.x - g.mean)) AS s FROM ve a JOIN g{s} g USING (pos) GROUP BY a.word_id, g.k)")
+            parts.append(f"p{s} AS MATERIALIZED (SELECT word_id, k, exp(s - max(s) OVER (PARTITION BY word_id)) + 1e-300 AS p FROM l{s})")
+            parts += resampled(s, f"p{s}", 1.0 / G, G)
+    return "WITH " + ", ".join(parts)
+
+
 def swept(k: int, weight: str, alpha: float) -> str:
     """Tokens' topics after one sweep; weight is a relation (word_id, k, p) for every pair."""
     return (
@@ -85,7 +158,6 @@ PHI = (
     f" phi AS (SELECT v.word_id, v.word, t.k, (coalesce(nwk.n, 0) + 0.1) / (coalesce(nk.n, 0) + (SELECT count(*) FROM vocab) * 0.1::DOUBLE) AS p"
     f" FROM vocab v CROSS JOIN (SELECT unnest(range({T}))::INT AS k) t LEFT JOIN nwk ON nwk.word_id = v.word_id AND nwk.k = t.k LEFT JOIN nk ON nk.k = t.k)"
 )
-TALK = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"
 GLDA = (
     f"{started(G, TALK)}, vecs AS (SELECT word_id, embedding::DOUBLE[] AS v FROM vocab JOIN embeddings ON word_id % (SELECT count(*) FROM embeddings) = vec_id),"
     " ve AS (SELECT word_id, unnest(range(len(v)))::INT AS pos, unnest(v) AS x FROM vecs), va AS (SELECT pos, greatest(var_pop(x), 1e-6) AS var FROM ve GROUP BY pos),"
@@ -109,6 +181,18 @@ ORACLES: dict[str, str] = {
     "tree_knn_k3": f"WITH {WITH_SELF} SELECT qid, rank, id, round(dist, 6) AS dist FROM ranked WHERE rank <= 3",
     "tree_range_search": f"WITH {WITH_SELF} SELECT qid, id, round(dist, 6) AS dist FROM ranked WHERE dist < {RADIUS}",
     "tree_insert_remove": f"WITH {PTS} SELECT qid, arg_min(id, (d, id)) AS id, round(min(d), 6) AS dist FROM (SELECT qid, id, list_distance(qv, v) AS d FROM asked, pts WHERE id % 3 <> 0) GROUP BY qid",
+    "forest_knn_k3": f"WITH {WITH_SELF} SELECT qid, rank, id, round(dist, 6) AS dist FROM ranked WHERE rank <= 3",
+    "forest_range_search": f"WITH {WITH_SELF} SELECT qid, id, round(dist, 6) AS dist FROM ranked WHERE dist < {RADIUS}",
+    "forest_insert_remove": f"WITH {PTS} SELECT qid, arg_min(id, (d, id)) AS id, round(min(d), 6) AS dist FROM (SELECT qid, id, list_distance(qv, v) AS d FROM asked, pts WHERE id % 3 <> 0) GROUP BY qid",
+    "tree_root": (
+        f"WITH {MOMENTS}, far AS (SELECT id, sum((x - mean) * (x - mean)) AS d FROM entries JOIN moments USING (pos) GROUP BY id), root AS (SELECT pts.id, v FROM pts JOIN far USING (id) ORDER BY d, id DESC LIMIT 1),"
+        " top AS (SELECT max(list_distance(pts.v, root.v)) AS r FROM pts, root)"
+        " SELECT id, round(r, 6) AS max_dist, ceil(ln(r) / ln(1.3))::BIGINT AS level FROM root, top"
+    ),
+    "tree_nodes_checked": "SELECT vec_id AS id, 1::BIGINT AS n, true AS near_parent, true AS levels_fall, true AS radius_holds FROM embeddings",
+    "tree_level_total": "SELECT count(*) AS n FROM embeddings",
+    "tree_covering": "SELECT true AS covering",
+    "tree_spread_checked": f"SELECT {K}::BIGINT AS n, {K}::BIGINT AS distinct_rows, {K}::BIGINT AS members",
     "tree_merge_distinct": f"WITH {PTS} SELECT min(id) AS id FROM pts GROUP BY v",
     "mean_vector": f"WITH {MOMENTS} SELECT pos, round(mean, 6) AS mean FROM moments",
     "var_vector": f"WITH {MOMENTS} SELECT pos, round(var, 6) AS var FROM moments",
@@ -117,6 +201,8 @@ ORACLES: dict[str, str] = {
     "firstk_seeds": f"SELECT vec_id AS id FROM embeddings ORDER BY vec_id LIMIT {K}",
     "random_seeds": f"SELECT vec_id AS id FROM embeddings ORDER BY {uniform_sql(5, 0, 'vec_id', '1')}, vec_id LIMIT {K}",
     "kmeanspp_d2_weights": f"WITH {PTS} SELECT a.id, round(min(power(list_distance(a.v, b.v), 2)), 6) AS d2 FROM pts a, (SELECT v FROM pts ORDER BY id LIMIT 3) b GROUP BY a.id",
+    "kmeanspp_seeds": "WITH " + ", ".join([ENTRIES, *plus_plus(K, 3)]) + " SELECT k, unnest(range(len(v)))::INT AS pos, round(unnest(v), 6) AS x FROM c0",
+    "kmeans_fit_kmeanspp": f"{centers_after(10, plus_plus(10, 0))} SELECT id, k FROM near",
     "kmeans_assign": f"{centers_after(0)} SELECT id, k FROM near",
     "kmeans_iter1_centers": f"{centers_after(1)} SELECT k, unnest(range(len(v)))::INT AS pos, round(unnest(v), 6) AS x FROM c1",
     "kmeans_iter3_centers": f"{centers_after(3)} SELECT k, unnest(range(len(v)))::INT AS pos, round(unnest(v), 6) AS x FROM c3",
@@ -136,6 +222,7 @@ ORACLES: dict[str, str] = {
     "gmm_log_weights": f"{GMM} SELECT m0.k, round(ln(count(id) + 1.0) - ln((SELECT count(*) FROM pts) + {float(G)}), 6) AS log_pi FROM m0 LEFT JOIN best USING (k) GROUP BY m0.k",
     "gmm_score_max": f"{GMM} SELECT round(avg(top) - 0.5 * 64 * ln(pi()), 6) AS score FROM best",
     "gmm_score_lse": f"{GMM} SELECT round(avg(l) - 0.5 * 64 * ln(pi()), 6) AS score FROM (SELECT id, max(top) + ln(sum(exp(s - top))) AS l FROM dens JOIN (SELECT id, top FROM best) USING (id) GROUP BY id)",
+    "gmm_fit_soft": f"{soft_em(5)} SELECT k, pos, round(mean, 6) AS mean, round(var, 6) AS var, round(log_pi, 6) AS log_pi FROM g5",
     "tokenize": f"{tokens()} SELECT doc_id, pos, word FROM tokens",
     "vocab_first_seen": f"{tokens()}, {vocab('tokens')} SELECT word_id, word FROM vocab",
     "vocab_extended": (
@@ -153,6 +240,7 @@ ORACLES: dict[str, str] = {
         " SELECT doc_id, md5(string_agg(plain, ' ' ORDER BY word_id)) AS digest FROM tokens JOIN named USING (word) WHERE plain <> '' GROUP BY doc_id"
     ),
     "packed_corpus": f"{tokens()} SELECT doc_id, CASE WHEN doc_id >= 100 THEN 'train' ELSE 'test' END AS side, count(*) AS n FROM tokens GROUP BY doc_id",
+    "synthetic_points_checked": "SELECT 10000::BIGINT AS n, 10000::BIGINT AS ids, 16 AS dim, 10::BIGINT AS labels, true AS near_means",
     "lda_init_topics": f"{started(T)} SELECT doc_id, pos, topic FROM z",
     "lda_counts_nwk": f"{started(T)} SELECT word_id, topic AS k, count(*) AS n FROM z GROUP BY ALL",
     "lda_counts_nmk": f"{started(T)} SELECT doc_id, topic AS k, count(*) AS n FROM z GROUP BY ALL",
@@ -164,6 +252,18 @@ ORACLES: dict[str, str] = {
         f" each AS (SELECT z.doc_id, z.pos, ln(sum((coalesce(n, 0) + {50.0 / T}) * p)) AS l FROM z CROSS JOIN ks LEFT JOIN nmk ON nmk.doc_id = z.doc_id AND nmk.k = ks.k JOIN phi ON phi.word_id = z.word_id AND phi.k = ks.k GROUP BY z.doc_id, z.pos)"
         " SELECT round(sum(l - ln(size + 50.0)) / count(*), 6) AS score FROM each JOIN sizes USING (doc_id)"
     ),
+    "lda_fit_counts": f"{lda_after(3, TALK)} SELECT word_id, topic AS k, count(*) AS n FROM z3 GROUP BY ALL",
+    "lda_predict_sizes": f"{coded(TALK)} SELECT doc_id, count(*) AS n, true AS in_range FROM coded GROUP BY doc_id",
+    "hdp_simple_totals": f"{coded(TALK)} SELECT count(*) AS n, true AS in_range FROM coded",
+    "hdp_stc_totals": f"{coded(TALK)} SELECT count(*) AS n, true AS in_range FROM coded",
+    "hdp_heldout_given_z": (
+        f"{started(G, TALK)}, ks AS (SELECT unnest(range({G}))::INT AS k), nwk AS (SELECT word_id, topic AS k, count(*) AS n FROM z GROUP BY ALL), nk AS (SELECT k, sum(n) AS n FROM nwk GROUP BY k),"
+        f" phi AS (SELECT v.word_id, ks.k, (coalesce(nwk.n, 0) + 0.1) / (coalesce(nk.n, 0) + (SELECT count(*) FROM vocab) * 0.1::DOUBLE) AS p FROM vocab v CROSS JOIN ks LEFT JOIN nwk ON nwk.word_id = v.word_id AND nwk.k = ks.k LEFT JOIN nk ON nk.k = ks.k),"
+        " nmk AS (SELECT doc_id, topic AS k, count(*) AS n FROM z GROUP BY ALL), sizes AS (SELECT doc_id, count(*) AS size FROM z GROUP BY doc_id),"
+        f" each AS (SELECT z.doc_id, z.pos, ln(50.0 / {G + 1} / (SELECT count(*) FROM vocab) + sum((coalesce(n, 0) + 50.0 / {G + 1}) * p)) AS l FROM z CROSS JOIN ks LEFT JOIN nmk ON nmk.doc_id = z.doc_id AND nmk.k = ks.k JOIN phi ON phi.word_id = z.word_id AND phi.k = ks.k GROUP BY z.doc_id, z.pos)"
+        " SELECT round(sum(l - ln(size + 50.0)) / count(*), 6) AS score FROM each JOIN sizes USING (doc_id)"
+    ),
+    "glda_fit": f"{glda_after(3)} SELECT k, pos, round(mean, 6) AS mean, round(var, 6) AS var FROM g3",
     "glda_sweep1_counts": f"{GLDA} {swept(G, 'gw', 1.0)} SELECT word_id, k, count(*) AS n FROM new_z GROUP BY ALL",
     "stirling_ratios": (
         f"{STIRLING} SELECT a.n, a.m, round(ln(a.c), 6) AS log_s, round(b.c / a.c, 6) AS u, round(d.c / b.c, 6) AS v, round(CASE WHEN a.n <= a.m THEN 1 ELSE d.c / a.c END, 6) AS w"
