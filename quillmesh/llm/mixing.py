@@ -7,17 +7,20 @@ probabilities: every document gets the ranking value
 
     Q = odds(u) / odds(lam),    u uniform from a hash of doc_id, lam its inclusion probability
 
-and documents are taken in the order of Q until the source's remaining words are used.
+and documents are taken in the order of Q until one exceeds the source's remaining words.
+What it leaves open goes, in up to PASSES passes, to the next ones in the order that fit.
 ``lam`` grows with the square root of the document's size class, up to 1.
 
 Scale: the text is read once; a slim (doc_id, source, size) table is kept. Targets and
-inclusion probabilities come from tables of sources and size classes. The cut along Q is
-found in two steps, by sums over BINS ranges of Q and then inside the one range in which
-the target is crossed, so that no window holds more than about 1/BINS of a source.
+inclusion probabilities come from tables of sources and size classes, which are ranked with
+one row a source, and are broadcast up to MAX_BROADCAST rows. The cut along Q is found in
+two steps, by sums over BINS ranges of Q and then inside the one range in which the target
+is crossed, so that no window holds more than about 1/BINS of a source.
 
 Defined cases: a null text has size 0; a null source is a source of its own, sorted last;
 empty documents are never taken; equal doc_ids share their random number and are ordered
-by size; an empty table gives an empty result; other columns are ignored.
+by size; repeated rows are taken one by one; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from pyspark.sql import functions as F
 
 from ._shared import materialize, text_of
 
-WORD = r"[^\x20\x09-\x0D]+"
-BINS = 4096
+#: Single characters, not a range: they are looked up in a table.
+WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
+BINS, PASSES = 4096, 4
+MAX_BROADCAST = 1_000_000
 
 
 def water_level(df: DataFrame, budget: Column, cap: Column, weight: Column, keys: list[str], tie: str) -> DataFrame:
@@ -42,6 +47,42 @@ def water_level(df: DataFrame, budget: Column, cap: Column, weight: Column, keys
     return df.withColumn("level", F.coalesce(F.max(F.when(fits, F.col("_try"))).over(by), F.lit(0.0)))
 
 
+def _beside(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of a written table that has one row a key; keys may be null."""
+    named = small.withColumnsRenamed({k: f"{k}_of" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(named[f"{k}_of"])
+    few = small.count() <= MAX_BROADCAST
+    return rows.join(F.broadcast(named) if few else named, same, "left").drop(*[f"{k}_of" for k in keys])
+
+
+def take_in_order(rows: DataFrame, budget: DataFrame) -> DataFrame:
+    """rows(doc_id, source, size, q, bin, extra), extra 1 for those that the order of q takes within budget(source, rest)."""
+    for step in range(PASSES):
+        # what is taken so far
+        used = rows.where("extra = 1").groupBy("source").agg(F.sum("size").alias("used"))
+        left = _beside(budget, materialize(used), ["source"]) if step else budget.withColumn("used", F.lit(0))
+        left = materialize(left.select("source", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("left")))
+        wide = _beside(rows, left, ["source"])
+        fits = F.coalesce((F.col("q").isNotNull()) & (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("left")), F.lit(False))
+        sums = wide.where(fits).groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        upto = Window.partitionBy("source").orderBy("bin")
+        sums = materialize(sums.withColumn("before", F.sum("words").over(upto) - F.col("words")))
+        if not sums.take(1):
+            break
+        cross = sums.where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("words") > F.col("left")))
+        cross = materialize(cross.select("source", F.col("bin").alias("cross_bin"), "before"))
+        wide = _beside(wide.withColumn("fits", fits), cross, ["source"])
+        at = F.col("fits") & F.coalesce(F.col("bin") == F.col("cross_bin"), F.lit(False))
+        run = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        edge = wide.where(at).withColumn("extra", (F.col("before") + F.sum("size").over(run) <= F.col("left")).cast("int"))
+        sure = F.col("fits") & (F.col("cross_bin").isNull() | (F.col("bin") < F.col("cross_bin")))
+        others = wide.where(~at).withColumn("extra", F.when(sure, 1).otherwise(F.col("extra")).cast("int"))
+        rows = materialize(others.unionByName(edge).drop("left", "fits", "cross_bin", "before"))
+    return rows
+
+
 def mix_to_targets(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
@@ -66,37 +107,22 @@ def mix_to_targets(
     rank_class = F.char_length(F.bin("size"))
     grow = F.ceil(F.sqrt(F.pow(F.lit(2.0), F.col("class")))).cast("long")
     slim = slim.withColumn("class", rank_class)
-    same_source = lambda a, b: a["source"].eqNullSafe(b["source"])
     classes = slim.where("size > 0").groupBy("source", "class").agg(F.sum("size").alias("words")).withColumn("g", grow)
-    classes = classes.join(s := sources.select("source", "rest"), same_source(classes, s), "left").drop(s["source"])
+    classes = _beside(classes, sources.select("source", "rest"), ["source"])
     classes = water_level(classes, F.col("rest"), F.col("words").cast("double"), (F.col("g") * F.col("words")).cast("double"), ["source"], "class")
     classes = classes.select("source", "class", F.least(F.lit(1.0), F.col("level") * F.col("g")).alias("lam"))
 
-    full = slim.join(sources, same_source(slim, sources), "left").drop(sources["source"])
-    full = full.join(classes, same_source(full, classes) & (full["class"] == classes["class"]), "left").drop(classes["source"], classes["class"])
+    classes = materialize(classes)
+    full = _beside(_beside(slim, sources, ["source"]), classes, ["source", "class"])
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     u = (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
     lam = F.coalesce("lam", F.lit(0.0))
-    q = F.when(lam > 0, u * (1 - lam) / ((1 - u) * lam))
-    full = full.withColumn("lam", lam).withColumn("q", q)
+    full = full.withColumn("lam", lam).withColumn("q", F.when(lam > 0, u * (1 - lam) / ((1 - u) * lam)))
     spot = F.when(F.col("q") == 0, -1).otherwise(F.floor(F.col("q") / (1 + F.col("q")) * BINS)).cast("int")
-    full = full.withColumn("bin", spot)
-
-    sums = full.where("q is not null").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy("source").orderBy("bin")
-    sums = sums.withColumn("before", F.sum("words").over(upto) - F.col("words"))
-    cross = sums.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
-    cross = materialize(cross.select("source", F.col("bin").alias("cross_bin"), "before"))
-    full = full.join(cross, same_source(full, cross), "left").drop(cross["source"])
-    no_cross = F.col("cross_bin").isNull()
-    at = F.col("bin") == F.col("cross_bin")
-    run = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = full.where(at).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
-    edge = edge.withColumn("extra", (F.col("ahead") + F.col("size") / 2 <= F.col("rest")).cast("long")).drop("ahead")
-    # where all ranges together stay below the rest, rounding is the only reason: all are taken
-    sure = F.col("q").isNotNull() & (F.col("rest") > 0) & (no_cross | (F.col("bin") < F.col("cross_bin")))
-    others = full.where(~F.coalesce(at, F.lit(False))).withColumn("extra", sure.cast("long"))
-    out = others.unionByName(edge).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).cast("long"))
+    full = full.withColumn("bin", spot).withColumn("extra", F.lit(0))
+    full = materialize(full.select("doc_id", "source", "size", "source_size", "target", "whole", "lam", "q", "bin", "extra"))
+    out = take_in_order(full, sources.select("source", "rest"))
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).cast("long"))
     return out.select(
         "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"),
         (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "lam",
