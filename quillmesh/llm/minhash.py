@@ -7,12 +7,15 @@ similarity 0.85 miss all bands with a probability below 1e-9; candidates are con
 the full sets, and links are joined to components.
 
 Groups without all pairs: documents with equal sets are one node. In every bucket, members
-are compared with a few centres only, and components are joined; buckets that still hold
-several components get eight times as many centres in the next round, until every pair in
-different components has been compared. A large group of copies is settled in the first
-round, and only what is truly separate is compared further, so nothing is capped. Pairs are
-made only if the numbers of shingles in BINS classes of hashes, an upper bound of what two
-sets share, leave them a chance.
+are compared with one centre and components are joined, ROUNDS times, from the second time
+on with a centre that has not been linked yet; so large groups of copies are settled by few
+pairs. Members of buckets that still hold several components, as of documents that merely
+share a frequent passage, go through an exact prefix join: every set's shingles are ordered
+from rare to frequent, sets at the similarity share one of the first n - ceil(0.85 n) + 1,
+and what both have from their first common one on must be able to reach the overlap. Only
+such pairs are made. Frequent shingles stand last and bring no pairs together; nothing is
+capped. Pairs are confirmed only if the numbers of shingles in BINS classes of hashes, an
+upper bound of what two sets share, leave them a chance.
 
 Scale: one narrow pass for signatures; shuffles of 8-byte band keys; full sets only for
 nodes that share a bucket. Signatures, sets, links and labels are written to the shared
@@ -29,17 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize, text_of
+from ._shared import materialize, release, text_of
 from .shingles import chunks, mix, set_key, shingle_sets
 
 ROWS, BANDS = 5, 36
 PERMUTATIONS = ROWS * BANDS // 2
 SHARE = 85  # percent
 SLICE = 2048
-GROWTH = 8
+#: Rounds with one centre a bucket.
+ROUNDS = 3
 BINS = 128
 #: Ids are broadcast up to this number (16 MB); beyond, texts are shuffled to them.
 MAX_BROADCAST_IDS = 2_000_000
@@ -66,10 +70,10 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def spread(shingles: np.ndarray) -> np.ndarray | None:
+def spread(shingles: np.ndarray) -> bytes | None:
     """How many shingles fall into each of BINS classes of hashes; none for sets too large for bytes."""
     counts = np.bincount((shingles & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
-    return counts.astype(np.int8) if counts.max() < 128 else None
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,13 +90,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["doc_id", "n", "k", "bands", "t"],
             )
+    release()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, data, offsets in chunks(batch.column(0)):
             sets = shingle_sets(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([spread(s) for s in sets], pa.list_(pa.int8()))], names=["k", "items", "bins"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([spread(s) for s in sets], pa.binary())], names=["k", "items", "bins"])
 
 
 def _confirm(share: int):
@@ -111,6 +116,53 @@ def _confirm(share: int):
     return run
 
 
+def _bounded(share: int):
+    """Of (a, b, n, m, x, y) the pairs that can reach the similarity: sizes and classes of hashes bound what both share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            both = np.minimum(n, m)
+            known = np.array([x is not None and y is not None for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], bool)
+            if known.any():
+                mask = pa.array(known)
+                x, y = (np.frombuffer(b"".join(batch.column(i).filter(mask).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
+                both[known] = np.minimum(x, y).sum(1, dtype=np.int64)
+            keep = 100 * both >= share * (n + m - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, id, n, c) of (id, items, n, c)."""
+    for whole in batches:
+        for first in range(0, len(whole), 512):
+            batch = whole.slice(first, 512)
+            items = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            at = pa.array(np.repeat(np.arange(len(items)), [len(x) for x in items]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(items)), *[batch.column(j).take(at) for j in (0, 2, 3)]], names=["token", "id", "n", "c"])
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Distinct (a, b, n, m) of members(id, n, c) of different components that share a shingle of their prefixes."""
+    held = materialize(sets.select("id", "items").dropDuplicates(["id"]).join(members, "id").select("id", "items", "n", "c"))
+    rows = held.mapInArrow(_tokens, "token long, id long, n long, c long")
+    shared = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
+    # shingles that no other member has come first, and need not be ordered
+    mine = Window.partitionBy("id")
+    place = F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("often", "token")) - 1
+    rows = rows.join(shared, "token").withColumn("at", place)
+    rows = rows.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share / 100)).select("token", "id", "n", "c", "at")
+    rows = materialize(rows)
+    several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("k > 1 and lo <> hi").select("token")
+    rows = materialize(rows.join(several, "token", "left_semi"))
+    other = rows.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("c2"), F.col("at").alias("at2"))
+    enough = (100 + share) * F.least(F.col("n") - F.col("at"), F.col("m") - F.col("at2")) >= share * (F.col("n") + F.col("m"))
+    close = enough & (100 * F.least("n", "m") >= share * F.greatest("n", "m")) & (F.col("id") < F.col("b")) & (F.col("c") != F.col("c2"))
+    return rows.join(other, "token").where(close).select(F.col("id").alias("a"), "b", "n", "m").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) of longs -> (v, label) with the smallest reachable value, for all end points."""
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -148,7 +200,7 @@ def _report(docs: DataFrame, share: int) -> DataFrame:
         ids = wanted.select("doc").distinct()
         ids = F.broadcast(ids) if n_wanted <= MAX_BROADCAST_IDS else ids
         texts = raw.join(ids, raw["doc_id"] == ids["doc"], "left_semi").select("raw")
-        sets = texts.mapInArrow(_sets, "k binary, items binary, bins array<tinyint>").join(wanted.select("id", "k"), "k")
+        sets = texts.mapInArrow(_sets, "k binary, items binary, bins binary").join(wanted.select("id", "k"), "k")
         sets = materialize(sets.select("id", "k", "items", "bins"))
         # repeated rows bring a set twice; pairs are made distinct after their confirmation
         labels = _link(member.select("b", "id", "n"), sets, share)
@@ -167,56 +219,48 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     return _report(docs, share).drop("t", "k")
 
 
-def _hopeful(share: int) -> Column:
-    """Whether a pair can reach the similarity: classes of hashes bound what both sets share."""
-    both = F.aggregate(F.zip_with("bins", "m_bins", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x.cast("int"))
-    least = F.least("n", "m_n")
-    enough = lambda c: 100 * c >= share * (F.col("n") + F.col("m_n") - c)
-    return enough(least) & F.coalesce(enough(both), F.lit(True))
-
-
 def _link(member: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Labels (v, label) of the ids that are linked to others.
 
     Centres are those members whose buckets are the largest, as the source of many copies
-    shares more buckets than any one copy. Pairs whose bound is too low are not made.
+    shares more buckets than any one copy.
     """
     sizes = member.groupBy("b").agg(F.count(F.lit(1)).alias("m"))
     weight = member.join(sizes, "b").groupBy("id").agg(F.sum("m").alias("deg"))
     bins = materialize(sets.groupBy("id").agg(F.first("bins").alias("bins")))
     member = materialize(member.join(weight, "id"))
-    labels, links, tried, centres = None, None, None, 1
-    while True:
+    labels, links, tried = None, None, None
+    for step in range(ROUNDS + 1):
         state = member
         if labels is not None:
-            state = member.join(labels, F.col("id") == F.col("v"), "left").drop("v")
+            state = member.join(labels.withColumn("linked", F.lit(1)), F.col("id") == F.col("v"), "left").drop("v")
         state = state.withColumn("c", F.coalesce("label", "id") if labels is not None else F.col("id"))
         mixed = state.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("b")
-        state = materialize(state.join(mixed, "b", "left_semi").select("b", "id", "n", "deg", "c"))
-        largest = state.groupBy("b").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
-        if not largest:
+        state = materialize(state.join(mixed, "b", "left_semi").select("b", "id", "n", "deg", "c", *(["linked"] if labels is not None else [])))
+        if not state.take(1):
             break
-        last = largest <= centres  # then all members are centres
-        part = F.col("id") if last else F.pmod(F.xxhash64("id"), F.lit(centres))
-        middle = state.groupBy("b", part.alias("part")).agg(F.min(F.struct(-F.col("deg"), "id", "n", "c")).alias("m"))
-        middle = middle.select("b", *[F.col(f"m.{x}").alias(f"m_{x}") for x in ("id", "n", "c")])
-        middle = middle.join(bins.select(F.col("id").alias("m_id"), F.col("bins").alias("m_bins")), "m_id")
-        pairs = state.join(bins, "id").join(middle, "b").where((F.col("c") != F.col("m_c")) & _hopeful(share))
-        pairs = pairs.select(F.least("id", "m_id").alias("a"), F.greatest("id", "m_id").alias("b")).distinct()
+        if step < ROUNDS:
+            linked = F.coalesce(F.col("linked"), F.lit(0)) if labels is not None else F.lit(0)
+            middle = state.groupBy("b").agg(F.min(F.struct(linked, -F.col("deg"), "id", "n", "c")).alias("m"))
+            middle = middle.select("b", *[F.col(f"m.{x}").alias(f"m_{x}") for x in ("id", "n", "c")])
+            close = 100 * F.least("n", "m_n") >= share * F.greatest("n", "m_n")
+            pairs = state.join(middle, "b").where((F.col("c") != F.col("m_c")) & close)
+            pairs = pairs.select(F.least("id", "m_id").alias("a"), F.greatest("id", "m_id").alias("b"), "n", F.col("m_n").alias("m")).dropDuplicates(["a", "b"])
+        else:
+            pairs = _prefix_pairs(state.select("id", "n", "c").distinct(), sets, share)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
+        end = lambda name, column: bins.select(F.col("id").alias(name), F.col("bins").alias(column))
+        pairs = pairs.join(end("a", "x"), "a").join(end("b", "y"), "b").select("a", "b", "n", "m", "x", "y")
+        pairs = materialize(pairs.mapInArrow(_bounded(share), "a long, b long"))
         if pairs.take(1):
             found = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
             found = found.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
             found = materialize(found.mapInArrow(_confirm(share), "a long, b long").distinct())
-            tried = pairs if tried is None else materialize(tried.union(pairs))
+            tried = pairs if tried is None else tried.union(pairs)
             if found.take(1):
                 links = found if links is None else materialize(links.union(found))
                 labels = components(links)
-        if last:
-            break
-        centres *= GROWTH
     if labels is None:
         labels = member.select(F.col("id").alias("v"), F.col("id").alias("label")).limit(0)
     return labels
