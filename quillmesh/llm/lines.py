@@ -8,15 +8,15 @@ empty is a duplicate too if it equals an earlier one.
 Lines are split into TAU + 1 segments, of which any two lines within TAU edits share one.
 Every line is indexed under (length, segments), and probes the indexes of its own length
 and of those up to TAU shorter with the substrings at the places that so many edits can
-move them to. One segment alone would bring together all lines with a common half, so the
-rest of a line is partitioned once more:
+move them to.
 
 * one edit: the edit lies in one of the two segments, and what stands around it is shared.
   Keys under which more than HOT lines meet are made anew around each half of the segment,
   again and again; around a piece of one character whoever meets is linked, but for a few.
   So the candidates stay near HOT times the lines plus the links, whatever halves, headers
   or templates the lines have in common.
-* more edits: one segment and, of the rest cut into TAU + 1 pieces, one more piece.
+* more edits: one key a segment; lines with a common segment are told apart by their words
+  only (below), so a segment that very many lines share costs the square of their number.
 
 Candidates are verified by a banded bit-parallel edit distance: the vertical differences
 of the 2 * TAU + 1 diagonals are bits of one long, and a column is a few logical operations.
@@ -62,22 +62,16 @@ def _around(line: Column, length: Column, i: Column | int, pieces: Column | int,
     return F.xxhash64(length, F.lit(pieces) if isinstance(pieces, int) else pieces, F.lit(i) if isinstance(i, int) else i, F.left(line, start), F.substr(line, end + 1 + moved))
 
 
-def _two(line: Column, length: Column, i: int, move: int, j: int, move_j: int, tau: int) -> Column:
-    """Key of segment i of tau + 1 and piece j of the rest of an indexed line, found moved in this one."""
+def _segment(line: Column, length: Column, i: int, move: int, tau: int) -> Column:
+    """Key of segment i of tau + 1 of an indexed line of that length, found moved in this one."""
     start, size = _bounds(length, i, tau + 1)
-    left, rest = start, length - size
-    at, wide = _bounds(rest, j, tau + 1)
-    # a piece across the gap that segment i leaves is cut there
-    split = F.greatest(F.lit(0), F.least(left - at, wide))
-    before = F.substr(line, at + 1 + move_j, split)
-    after = F.substr(line, at + split + size + 1 + move_j, wide - split)
-    return F.xxhash64(length, F.lit(i), F.lit(j), F.substr(line, start + 1 + move, size), before, after)
+    return F.xxhash64(length, F.lit(i), F.substr(line, start + 1 + move, size))
 
 
 def index_keys(line: Column, length: Column, tau: int = TAU) -> list[Column]:
     if tau == 1:
         return [_around(line, length, i, PIECES, 0) for i in range(PIECES)]
-    return [_two(line, length, i, 0, j, 0, tau) for i in range(tau + 1) for j in range(tau + 1)]
+    return [_segment(line, length, i, 0, tau) for i in range(tau + 1)]
 
 
 def probe_keys(line: Column, length: Column, tau: int = TAU) -> list[Column]:
@@ -88,7 +82,7 @@ def probe_keys(line: Column, length: Column, tau: int = TAU) -> list[Column]:
     for shorter in range(tau + 1):
         for i in range(tau + 1):
             low, high = max(-i, shorter - (tau - i)), min(i, shorter + (tau - i))
-            keys += [_two(line, length - shorter, i, m, j, n, tau) for m in range(low, high + 1) for j in range(tau + 1) for n in range(-tau, tau + 1)]
+            keys += [_segment(line, length - shorter, i, move, tau) for move in range(low, high + 1)]
     return keys
 
 

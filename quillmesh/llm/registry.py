@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import chat, decontaminate, language, lines, media, minhash, mixing, pii, sql, suffix, urls
 from ._shared import table
 
@@ -30,6 +32,17 @@ def op8_language_id(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def pii_base_spans(spark, sf_dir):
+    """The base kinds of op4 alone, which SQL can express too."""
+    return pii.pii_report(table(spark, sf_dir, "documents")).select("doc_id", *[f"n_{k}" for k in pii.BASE], "base_sha256")
+
+
+def url_rules(spark, sf_dir):
+    """Hosts, paths and rules of op6 alone: the verdict is null where no rule fits."""
+    pages = urls.with_rules(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "host", "path", "rule", F.col("by_rule").alias("verdict"))
+
+
 def op10_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,5 +59,5 @@ def op7_source_mixing(spark, sf_dir):
     return mixing.mix_to_targets(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_media_columns, op4_personal_data, op5_decontamination, op6_url_filters, op7_source_mixing, op8_language_id, op9_chat_threads, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_media_columns, op4_personal_data, op5_decontamination, op6_url_filters, op7_source_mixing, op8_language_id, op9_chat_threads, op10_near_duplicates, pii_base_spans, url_rules)}
 ORACLES = sql.ORACLES

@@ -130,12 +130,17 @@ def template_verdicts(
     return tree.select("host", "parts", "template").join(totals, ["host", "template"]).select("host", "parts", "template", "purity", "made")
 
 
-def filter_urls(pages: DataFrame, rules=RULES, **tree) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, template, purity."""
+def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, host, path, rule and by_rule (its verdict); null where none fits."""
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "by_rule": verdict, "parts": lexical_template(F.col("path"))})
+    return rows.withColumns({"rule": rule, "by_rule": verdict})
+
+
+def filter_urls(pages: DataFrame, rules=RULES, **tree) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, template, purity."""
+    rows = with_rules(pages, rules).withColumn("parts", lexical_template(F.col("path")))
     counts = rows.groupBy("host", "parts").agg(
         F.count(F.lit(1)).alias("n"), F.count("by_rule").alias("labelled"), F.count_if(F.col("by_rule") == "block").alias("blocked")
     )

@@ -35,8 +35,7 @@ def test_distance(spark):
         assert [r[f"d{tau}"] for tau in (1, 2, 3)] == [min(want, tau + 1) for tau in (1, 2, 3)], r
 
 
-@pytest.mark.parametrize("tau", [1, 2, 3])
-@pytest.mark.parametrize("hot", [2, 16])
+@pytest.mark.parametrize(("tau", "hot"), [(1, 2), (1, 16), (2, 16), (3, 16)])
 def test_thresholds(spark, monkeypatch, tau, hot):
     monkeypatch.setattr(lines, "HOT", hot)
     rng = random.Random(tau)
