@@ -33,6 +33,22 @@ class AliasTable:
         return np.where(x - at < self.share[at], at, self.alias[at])
 
 
+class AliasRows:
+    """Alias tables of some rows of a matrix of weights; a draw costs the same however many columns there are."""
+
+    def __init__(self, weights: np.ndarray, rows: np.ndarray):
+        self.rows = np.unique(rows)
+        tables = [AliasTable(weights[r]) for r in self.rows]
+        self.share = np.array([t.share for t in tables]).reshape(len(tables), -1)
+        self.alias = np.array([t.alias for t in tables]).reshape(len(tables), -1)
+
+    def draw(self, rows: np.ndarray, u: np.ndarray) -> np.ndarray:
+        r = np.searchsorted(self.rows, rows)
+        x = u * self.share.shape[1]
+        at = np.minimum(x.astype(np.int64), self.share.shape[1] - 1)
+        return np.where(x - at < self.share[r, at], at, self.alias[r, at])
+
+
 class SumTree:
     """A binary tree of sums: draws and single-weight updates in logarithmic time."""
 

@@ -3,13 +3,14 @@
 A tree is flat arrays (points, levels, parents, distance to the furthest descendant). A
 DataFrame of points becomes a forest of trees of about TREE_ROWS points, one per partition
 block; queries go against every tree and partial answers are merged, so a tree always fits
-a task. Insert and remove return new forests; duplicates are kept unless told otherwise.
+a task. Insert adds points to the trees of their blocks, remove marks nodes as gone, so only
+trees that are touched change; a forest that has grown or shrunk by half is built anew.
+Duplicates are kept unless told otherwise, as copies beside the node of the first one.
 """
 
 from __future__ import annotations
 
 import heapq
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..functions.pack import pack, unpack
 from ..plans.store import written
 from .search import packed
 
@@ -25,11 +27,21 @@ BASE = 1.3
 TREE_ROWS = 20_000
 
 
+def replaced(front: list, children, need: int, before: list) -> list:
+    """before and need more of a level: whole families of children for the first parents, then the parents themselves."""
+    out, extra = list(before), need - len(front)
+    for node in front:
+        kids = children(node) if extra > 0 else []
+        out += kids[: extra + 1] if kids else [node]
+        extra -= max(len(kids[: extra + 1]) - 1, 0)
+    return out[: len(before) + need]
+
+
 class Tree:
     """In-memory tree over a few ten thousand points."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, levels: int = -1):
-        self.ids, self.points = np.asarray(ids, np.int64), np.asarray(points, float)
+        self.ids, self.points = np.asarray(ids, np.int64), np.asarray(points, float) + 0.0  # no negative zeros
         if len(self.ids) == 0:
             raise ValueError("a tree needs a point")
         mean = self.points.mean(0)
@@ -45,8 +57,43 @@ class Tree:
         self.children: list[list[int]] = [[] for _ in self.ids]
         self.floor = self.level[self.root] - levels if levels > 0 else None
         self.skipped: list[int] = []
+        self.alive = np.ones(len(self.ids), bool)
+        self.copies: dict[int, list[int]] = {}
+        self.known = {self.points[self.root].tobytes(): self.root}
         for i in order[:-1]:
-            self._insert(int(i))
+            self._place(int(i))
+
+    def _place(self, i: int) -> None:
+        """A point that is there already becomes a copy of its node: many equal points make no chain."""
+        first = self.known.setdefault(self.points[i].tobytes(), i)
+        if first == i:
+            self._insert(i)
+        elif self.floor is not None and self.level[first] - 1 < self.floor:
+            self.skipped.append(i)
+        else:
+            self.copies.setdefault(first, []).append(i)
+            self.parent[i], self.level[i] = first, self.level[first] - 1
+
+    def add(self, ids: np.ndarray, points: np.ndarray) -> None:
+        """More points, one after the other; the root's level grows where it has to."""
+        at, more = len(self.ids), len(ids)
+        self.ids = np.concatenate([self.ids, np.asarray(ids, np.int64)])
+        self.points = np.concatenate([self.points, np.asarray(points, float) + 0.0])
+        self.level, self.parent = np.concatenate([self.level, np.zeros(more, np.int64)]), np.concatenate([self.parent, np.full(more, -1)])
+        self.radius, self.alive = np.concatenate([self.radius, np.zeros(more)]), np.concatenate([self.alive, np.ones(more, bool)])
+        self.children += [[] for _ in range(more)]
+        top = float(self._dist(self.root, np.arange(at, at + more)).max()) if more else 0.0
+        if top > 0:
+            self.level[self.root] = max(self.level[self.root], int(np.ceil(np.log(top) / np.log(BASE))))
+        for i in range(at, at + more):
+            self._place(i)
+
+    def drop(self, points: np.ndarray) -> None:
+        """These vectors are found no more; their nodes still lead to others."""
+        for p in points + 0.0:
+            node = self.known.get(p.tobytes())
+            if node is not None:
+                self.alive[[node, *self.copies.get(node, [])]] = False
 
     def _dist(self, i: int, others) -> np.ndarray:
         return np.sqrt(((self.points[others] - self.points[i]) ** 2).sum(1))
@@ -78,8 +125,12 @@ class Tree:
         """The k nearest within radius (strict), as (distance, id), ties by id."""
         best: list[tuple[float, int]] = []  # of negated pairs: the worst on top
 
-        def offer(d: float, i: int) -> None:
-            if d < radius:
+        def offer(d: float, node: int) -> None:
+            for i in (node, *self.copies.get(node, ())):
+                one(d, i)
+
+        def one(d: float, i: int) -> None:
+            if d < radius and self.alive[i]:
                 entry = (-d, -int(self.ids[i]))
                 if len(best) < k:
                     heapq.heappush(best, entry)
@@ -108,23 +159,38 @@ class Tree:
         return bool((d <= BASE ** self.level[self.parent[kids]].astype(float) + 1e-9).all())
 
     def spread(self, k: int) -> np.ndarray:
-        """Ids of k spread-out points, from the upper levels of the tree."""
-        if k > len(self.ids) - len(self.skipped):
-            raise ValueError("fewer points than asked for")
-        front, chosen = [self.root], [self.root]
-        while len(chosen) < k and front:
-            below = [c for node in front for c in self.children[node]]
-            chosen += below
-            front = below
-        return self.ids[chosen[:k]]
+        """Ids of k spread-out points: the lowest level that is not too large, in which children replace parents up to k."""
+        under = lambda node: self.children[node] + self.copies.get(node, [])
+        front, out, seen = [self.root], [], [self.root]
+        while len(front) < k - len(out):
+            below = [c for node in front for c in under(node)]
+            leaves = [node for node in front if not under(node)]
+            seen += below
+            if not below:
+                # the tree is all used up; parents have to stand beside their children
+                if len(seen) < k:
+                    raise ValueError("fewer points than asked for")
+                return self.ids[seen[:k]]
+            if len(below) > k - len(out) - len(leaves):
+                break
+            out, front = out + leaves, below
+        return self.ids[replaced(front, under, k - len(out), out)]
 
     def to_bytes(self) -> bytes:
-        return pickle.dumps(self.__dict__)
+        fields = {f: getattr(self, f) for f in ("ids", "points", "level", "parent", "radius", "alive", "root", "floor", "skipped")}
+        copy = np.zeros(len(self.ids), bool)
+        copy[[i for some in self.copies.values() for i in some]] = True
+        return pack(fields | {"copy": copy})
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Tree:
         tree = cls.__new__(cls)
-        tree.__dict__.update(pickle.loads(data))
+        tree.__dict__.update(unpack(data))
+        copy = tree.__dict__.pop("copy")
+        tree.children, tree.copies = [[] for _ in tree.ids], {}
+        for i in np.flatnonzero(tree.parent >= 0).tolist():
+            (tree.copies.setdefault(int(tree.parent[i]), []) if copy[i] else tree.children[tree.parent[i]]).append(i)
+        tree.known = {p.tobytes(): i for i, p in reversed(list(enumerate(tree.points))) if not copy[i]}
         return tree
 
 
@@ -141,8 +207,9 @@ def _build(levels: int):
 class CoverTree:
     """A forest over a DataFrame of points(id, v)."""
 
-    def __init__(self, points: DataFrame, trees: DataFrame, rows: int = TREE_ROWS):
-        self.points, self.trees, self.rows = points, trees, rows
+    def __init__(self, points: DataFrame, trees: DataFrame, rows: int = TREE_ROWS, blocks: int = 1, built: int = 0):
+        """built: number of points when the trees were last made, dealt to so many blocks."""
+        self.points, self.trees, self.rows, self.blocks, self.built = points, trees, rows, blocks, built
 
     @classmethod
     def from_matrix(cls, points: DataFrame, trunc: int = -1, dedup: bool = False, rows: int = TREE_ROWS) -> CoverTree:
@@ -151,17 +218,48 @@ class CoverTree:
         if dedup:
             points = points.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
         points = written(points)
-        blocks = packed(points, "id", "v", max(1, -(-points.count() // rows)))
-        return cls(points, written(blocks.mapInArrow(_build(trunc), "block long, n long, tree binary")), rows)
+        n = points.count()
+        blocks = max(1, -(-n // rows))
+        return cls(points, written(packed(points, "id", "v", blocks).mapInArrow(_build(trunc), "block long, n long, tree binary")), rows, blocks, n)
+
+    def _changed(self, points: DataFrame, rows: DataFrame, function) -> CoverTree:
+        """The forest with function(tree, ids, vectors) applied to the trees of these rows' blocks."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    data = batch.column(1)[i].as_py()
+                    if batch.column(2)[i].is_valid:
+                        tree = Tree.from_bytes(data)
+                        function(tree, np.asarray(batch.column(2)[i].values), vec.matrix(batch.column(3)[i].values))
+                        data, size = tree.to_bytes(), int(tree.alive.sum())
+                    else:
+                        size = batch.column(4)[i].as_py()
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([size], pa.int64()), pa.array([data])], names=["block", "n", "tree"])
+
+        some = packed(rows, "id", "v", self.blocks)
+        both = self.trees.join(some, "block", "left").select("block", "tree", "ids", "vs", "n")
+        return CoverTree(points, written(both.mapInArrow(run, "block long, n long, tree binary")), self.rows, self.blocks, self.built)
+
+    def _fits(self, size: int) -> bool:
+        return 2 * size >= self.built and size <= 2 * self.built and self.trees.count() == self.blocks
 
     def insert(self, more: DataFrame) -> CoverTree:
-        return CoverTree.from_matrix(self.points.unionByName(more.select("id", vec.vector("v").alias("v"))))
+        """The forest with more points; ids that it has already are allowed."""
+        more = written(more.select(F.col("id").cast("long").alias("id"), vec.vector("v").alias("v")))
+        points = written(self.points.unionByName(more))
+        if not self._fits(points.count()):
+            return CoverTree.from_matrix(points, rows=self.rows)
+        return self._changed(points, more, lambda tree, ids, x: tree.add(ids, x))
 
     def remove(self, vectors: DataFrame) -> tuple[CoverTree, bool]:
         """The forest without these vectors, and whether any was there."""
         gone = vectors.select(vec.vector("v").alias("v")).distinct()
+        out = written(self.points.join(gone, "v", "left_semi").select("id", "v"))
         rest = written(self.points.join(gone, "v", "left_anti").select("id", "v"))
-        return CoverTree.from_matrix(rest), rest.count() < self.points.count()
+        if not self._fits(rest.count()):
+            return CoverTree.from_matrix(rest, rows=self.rows), bool(out.take(1))
+        return self._changed(rest, out, lambda tree, _, x: tree.drop(x)), bool(out.take(1))
 
     def _search(self, queries: DataFrame, k: int, radius: float) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +294,9 @@ class CoverTree:
             for batch in batches:
                 for i in range(batch.num_rows):
                     t = Tree.from_bytes(batch.column(2)[i].as_py())
-                    up = [int(t.ids[p]) if p >= 0 else None for p in t.parent]
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(t.ids), pa.int64()), pa.array(t.ids), pa.array(up, pa.int64()), pa.array(t.level), pa.array(t.radius)], names=["block", "id", "parent", "level", "max_dist"])
+                    here = np.flatnonzero(t.alive)
+                    up = [int(t.ids[p]) if p >= 0 else None for p in t.parent[here]]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(here), pa.int64()), pa.array(t.ids[here]), pa.array(up, pa.int64()), pa.array(t.level[here]), pa.array(t.radius[here])], names=["block", "id", "parent", "level", "max_dist"])
 
         return self.trees.mapInArrow(run, "block long, id long, parent long, level long, max_dist double")
 
@@ -214,7 +313,9 @@ class CoverTree:
     def save(self, path: str) -> None:
         self.points.write.parquet(f"{path}/points")
         self.trees.write.parquet(f"{path}/trees")
+        row = [(self.rows, self.blocks, self.built)]
+        self.points.sparkSession.createDataFrame(row, "rows long, blocks long, built long").write.parquet(f"{path}/shape")
 
     @classmethod
     def load(cls, spark, path: str) -> CoverTree:
-        return cls(spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/trees"))
+        return cls(spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/trees"), *spark.read.parquet(f"{path}/shape").first())

@@ -8,6 +8,7 @@ statistics, K rows each, are merged by a partial and a final sum.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,9 +89,18 @@ class _Saved:
     def load(cls, spark: SparkSession, path: str):
         return cls.from_bytes(bytes(spark.read.parquet(path).first()["model"]))
 
-    def _snapshot(self, points: DataFrame, path: str | None, every: int, step: int, last: bool) -> None:
-        if path and (last or step % every == 0):
-            self.save(points.sparkSession, f"{path}-{step}")
+    def _run(self, points: DataFrame, valid: DataFrame | None, snapshot: str | None, every: int) -> float | None:
+        """All iterations; at every snapshot also path-history with step, seconds since the start and the score."""
+        points, began, history = as_points(points).persist(), time.time(), []
+        for step in range(1, self.iters + 1):
+            self.step(points)
+            if snapshot and (step == self.iters or step % every == 0):
+                self.save(points.sparkSession, f"{snapshot}-{step}")
+                seconds = time.time() - began
+                history.append((step, seconds, float(self.evaluate(valid)) if valid is not None else None))
+                points.sparkSession.createDataFrame(history, "step int, seconds double, score double").coalesce(1).write.mode("overwrite").parquet(f"{snapshot}-history")
+        points.unpersist()
+        return self.evaluate(valid) if valid is not None else None
 
 
 class KMeans(_Saved):
@@ -112,12 +122,7 @@ class KMeans(_Saved):
         self.centers = np.where((n == 0)[:, None], self.centers, new) if self.empty == "keep" else new
 
     def fit(self, points: DataFrame, valid: DataFrame | None = None, snapshot: str | None = None, every: int = 200) -> float | None:
-        points = as_points(points).persist()
-        for step in range(1, self.iters + 1):
-            self.step(points)
-            self._snapshot(points, snapshot, every, step, step == self.iters)
-        points.unpersist()
-        return self.evaluate(valid) if valid is not None else None
+        return self._run(points, valid, snapshot, every)
 
     def predict(self, points: DataFrame) -> DataFrame:
         labels = self._labels()
@@ -174,12 +179,7 @@ class GMM(_Saved):
         self.iteration += 1
 
     def fit(self, points: DataFrame, valid: DataFrame | None = None, snapshot: str | None = None, every: int = 200) -> float | None:
-        points = as_points(points).persist()
-        for step in range(1, self.iters + 1):
-            self.step(points)
-            self._snapshot(points, snapshot, every, step, step == self.iters)
-        points.unpersist()
-        return self.evaluate(valid) if valid is not None else None
+        return self._run(points, valid, snapshot, every)
 
     def predict(self, points: DataFrame) -> DataFrame:
         scores = self._scores()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..functions.rng import uniform
 from ..plans.store import written
-from .covertree import BASE
+from .covertree import BASE, replaced
 
 
 def first_k(points: DataFrame, k: int) -> DataFrame:
@@ -39,7 +39,7 @@ def plus_plus(points: DataFrame, k: int, seed: int = 0) -> np.ndarray:
 
 
 def spread_out(points: DataFrame, k: int) -> np.ndarray:
-    """The first k nodes, level by level, of the cover tree of all points.
+    """k nodes of the cover tree of all points: its lowest level that is not too large, where children replace parents up to k.
 
     The tree inserts points from the remotest to the nearest to the mean, so that the next
     child of a node is the first of its points in this order that no earlier child covers:
@@ -55,26 +55,33 @@ def spread_out(points: DataFrame, k: int) -> np.ndarray:
     near = lambda v: vec.l2(F.col("v"), vec.literal(v))
     top = points.agg(F.max(near(root["v"]))).first()[0]
     level = int(np.ceil(np.log(top) / np.log(BASE))) if top > 0 else 0
-    front, chosen = [root], [root]
+    front, out, seen = [root], [], [root]
     rest = points.where(F.col("id") != root["id"]).withColumn("node", F.lit(root["id"]))
-    while len(chosen) < k:
+    while len(front) < k - len(out):
         level -= 1
-        reach, below, kids_of = BASE**level, [], {}
+        reach, kids_of, need, found = BASE**level, {}, k - len(out), 0
         for node in front:
             mine, kids = rest.where(F.col("node") == node["id"]), []
-            while len(chosen) < k:
+            while found <= need:
                 row = mine.orderBy(F.desc("far"), "id").select("id", "v", "far").first()
                 if row is None:
                     break
                 kids.append(row)
-                chosen.append(row)
+                found += 1
                 mine = mine.where((F.col("id") != row["id"]) & (near(row["v"]) > reach))
             kids_of[node["id"]] = kids
-            below += kids
-        if len(chosen) >= k:
-            break
+        below = [row for node in front for row in kids_of[node["id"]]]
+        leaves = [node for node in front if not kids_of[node["id"]]]
+        seen += below
         if not below:
-            raise ValueError("fewer points than seeds")
+            # the tree is all used up; parents have to stand beside their children
+            if len(seen) < k:
+                raise ValueError("fewer points than seeds")
+            return np.array([r["v"] for r in seen[:k]])
+        # leaves are told from nodes that were not looked at only where all were
+        if found > need or found > need - len(leaves):
+            return np.array([r["v"] for r in replaced(front, lambda n: kids_of[n["id"]], need, out)])
+        out += leaves
         # a point goes to the nearest of its node's children that were inserted before it
         place = F.lit(None).cast("struct<d:double,nth:int,id:bigint>")
         for node, kids in kids_of.items():
@@ -84,7 +91,7 @@ def spread_out(points: DataFrame, k: int) -> np.ndarray:
                 place = F.when(F.col("node") == node, F.array_min(F.array(*covers))).otherwise(place)
         rest = rest.where(~F.col("id").isin([r["id"] for r in below])).withColumn("node", place["id"])
         rest, front = written(rest), below
-    return np.array([r["v"] for r in chosen[:k]])
+    return np.array([r["v"] for r in out + front])
 
 
 def seed_centers(points: DataFrame, k: int, init, seed: int = 0) -> np.ndarray:

@@ -10,7 +10,7 @@ where the model asks for it; the documents of a batch advance together, position
 
 from __future__ import annotations
 
-import pickle
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +19,9 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.pack import pack, unpack
 from ..functions.rng import uniform_np
-from ..functions.sampling import break_stick, concentration, crp_tables, root_sticks
+from ..functions.sampling import AliasRows, break_stick, concentration, crp_tables, root_sticks
 from ..functions.stirling import Stirling
 from ..plans.store import written
 from .mixture import KAPPA0, NU0, SIGMA0
@@ -127,14 +128,46 @@ def count_matrix(state: DataFrame, v: int, k: int) -> np.ndarray:
     return out
 
 
-def sweep(state: DataFrame, emission: np.ndarray, prior: np.ndarray, seed: int, step: int) -> DataFrame:
-    """Resamples every token with odds (n_dk + prior_k) * emission[word, k]."""
+def _by_alias(batch: Batch, emission: np.ndarray, prior: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Topics with odds n_dk * emission from those of the document alone, or prior * emission from alias tables of words."""
+    words, z = batch.columns
+    pairs, count = np.unique(batch.doc * emission.shape[1] + z, return_counts=True)
+    doc, topic = pairs // emission.shape[1], pairs % emission.shape[1]
+    first = np.searchsorted(doc, np.arange(len(batch.ids) + 1))
+    width = int(np.diff(first).max()) if len(batch.ids) else 0
+    have = np.zeros((len(batch.ids), max(width, 1)), np.int64)
+    n = np.zeros(have.shape)
+    have[doc, np.arange(len(doc)) - first[doc]], n[doc, np.arange(len(doc)) - first[doc]] = topic, count
+    weights = emission * prior
+    tables, new = AliasRows(weights, words), np.empty(len(words), np.int64)
+    rows = max(1, (1 << 23) // have.shape[1])
+    for at in range(0, len(words), rows):
+        s = slice(at, at + rows)
+        own = have[batch.doc[s]]
+        cum = np.cumsum(n[batch.doc[s]] * emission[words[s, None], own], 1)
+        inner, outer = cum[:, -1], weights[words[s]].sum(1)
+        x = u[s] * (inner + outer)
+        place = np.minimum((cum < x[:, None]).sum(1), own.shape[1] - 1)
+        new[s] = np.where(x < inner, own[np.arange(len(place)), place], tables.draw(words[s], np.clip((x - inner) / outer, 0, 1 - 1e-12)))
+    return new
+
+
+def sweep(state: DataFrame, emission: np.ndarray, prior: np.ndarray, seed: int, step: int, sampler: str = "dense") -> DataFrame:
+    """Resamples every token with odds (n_dk + prior_k) * emission[word, k].
+
+    sampler 'alias' splits the odds into the topics of the document and a part that depends on
+    the word alone, drawn from alias tables; the odds are the same.
+    """
+    if sampler not in ("dense", "alias"):
+        raise ValueError(f"unknown sampler: {sampler}")
     shared = state.sparkSession.sparkContext.broadcast(emission)
     k = emission.shape[1]
     rows = max(1, (1 << 23) // k)
 
     def draw(batch: Batch):
         words, z = batch.columns
+        if sampler == "alias":
+            return batch.ids, batch.lists(words), batch.lists(_by_alias(batch, shared.value, prior, batch.uniform(seed, step)))
         n, u, new = batch.counts(z, k) + prior, batch.uniform(seed, step), np.empty(len(z), np.int64)
         for at in range(0, len(words), rows):
             s = slice(at, at + rows)
@@ -197,6 +230,8 @@ def score_given_topics(state: DataFrame, emission: np.ndarray, prior: np.ndarray
 
 
 class _Topics:
+    sampler = "dense"
+
     def __init__(self, k: int, iters: int, vocab: DataFrame, alpha: float, seed: int):
         if k > 65535:
             raise ValueError("too many topics")
@@ -210,16 +245,29 @@ class _Topics:
         return np.full(self.k, self.alpha / self.k)
 
     def fit(self, docs: DataFrame, valid: DataFrame | None = None, snapshot: str | None = None, every: int = 200) -> float | None:
-        state = init_topics(docs, self.k, self.seed)
-        self.update(count_matrix(state, len(self.words), self.k))
+        state, began, history = self.start(docs), time.time(), []
         for step in range(1, self.iters + 1):
-            state = sweep(state, self.emission(), self.prior(), self.seed, step)
-            self.update(count_matrix(state, len(self.words), self.k))
+            state = self.advance(state, step)
             if snapshot and (step % every == 0 or step == self.iters):
                 self.save(docs.sparkSession, f"{snapshot}-{step}")
+                self.get_top_words(docs.sparkSession).coalesce(1).write.mode("overwrite").parquet(f"{snapshot}-{step}-words")
+                seconds = time.time() - began
+                history.append((step, seconds, float(self.evaluate(valid)) if valid is not None else None))
+                docs.sparkSession.createDataFrame(history, "step int, seconds double, score double").coalesce(1).write.mode("overwrite").parquet(f"{snapshot}-history")
         self.state = state
         return self.evaluate(valid) if valid is not None else None
 
+    def start(self, docs: DataFrame) -> DataFrame:
+        """First topics, and the parameters that follow from them."""
+        state = init_topics(docs, self.k, self.seed)
+        self.update(count_matrix(state, len(self.words), self.k))
+        return state
+
+    def advance(self, state: DataFrame, step: int) -> DataFrame:
+        state = sweep(state, self.emission(), self.prior(), self.seed, step, self.sampler)
+        self.update(count_matrix(state, len(self.words), self.k))
+        return state
+
     def evaluate(self, docs: DataFrame, sweeps: int = 50) -> float:
         """Log likelihood per word of held-out documents."""
         out = fold_in(docs, self.emission(), self.prior(), self.seed, sweeps).agg(F.sum("score"), F.sum("size")).first()
@@ -243,12 +291,12 @@ class _Topics:
         return spark.createDataFrame(rows, "k int, rank int, word string")
 
     def to_bytes(self) -> bytes:
-        return pickle.dumps({k: v for k, v in self.__dict__.items() if k != "state"})
+        return pack({k: v for k, v in self.__dict__.items() if k != "state"})
 
     @classmethod
     def from_bytes(cls, data: bytes):
         model = cls.__new__(cls)
-        model.__dict__.update(pickle.loads(data), state=None)
+        model.__dict__.update(unpack(data), state=None)
         return model
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -260,8 +308,9 @@ class _Topics:
 
 
 class LDA(_Topics):
-    def __init__(self, k: int, iters: int, vocab: DataFrame, alpha: float = 50.0, beta: float = 0.1, seed: int = 0):
+    def __init__(self, k: int, iters: int, vocab: DataFrame, alpha: float = 50.0, beta: float = 0.1, seed: int = 0, sampler: str = "dense"):
         super().__init__(k, iters, vocab, alpha, seed)
+        self.sampler = sampler
         self.beta, self.phi = beta, np.full((len(self.words), k), 1 / max(len(self.words), 1))
 
     def update(self, counts: np.ndarray) -> None:
@@ -283,8 +332,9 @@ class LDA(_Topics):
 class GLDA(_Topics):
     """Topics are diagonal Gaussians over word vectors; the exact posterior is sampled."""
 
-    def __init__(self, k: int, iters: int, vocab: DataFrame, word_vec: DataFrame, alpha: float = 1.0, seed: int = 0):
+    def __init__(self, k: int, iters: int, vocab: DataFrame, word_vec: DataFrame, alpha: float = 1.0, seed: int = 0, sampler: str = "dense"):
         super().__init__(k, iters, vocab, alpha, seed)
+        self.sampler = sampler
         self.vectors = np.array([r["v"] for r in word_vec.orderBy("word_id").collect()], float)
         if len(self.vectors) != len(self.words):
             raise ValueError("every word needs a vector")
@@ -326,6 +376,9 @@ class GLDA(_Topics):
 class HDP(_Topics):
     """Topics without a fixed number; method 'simple' (direct assignment) or 'stc' (tables).
 
+    'alias' and 'stc-alias' draw from the same odds: topics that the document has are weighed
+    one by one, the part that depends on the word alone comes from alias tables.
+
     In a sweep every document may open a new topic. Documents are dealt to NEW provisional
     ones by a hash of (seed, sweep, doc_id), so that a sweep can find up to NEW topics; those
     that any token chose are kept. This is a frozen-count approximation of sequential sampling.
@@ -333,6 +386,8 @@ class HDP(_Topics):
 
     def __init__(self, k: int, iters: int, vocab: DataFrame, alpha: float = 50.0, beta: float = 0.1, gamma: float = 1.0, method: str = "simple", seed: int = 0):
         super().__init__(k, iters, vocab, alpha, seed)
+        if method not in ("simple", "alias", "stc", "stc-alias"):
+            raise ValueError(f"unknown method: {method}")
         self.beta, self.gamma, self.method = beta, gamma, method
         self.phi, self.tau, self.left = np.full((len(self.words), k), 1 / max(len(self.words), 1)), np.full(k, 1 / (k + 1)), 1 / (k + 1)
         self.tables = np.ones(k)
@@ -358,6 +413,7 @@ class HDP(_Topics):
         alpha, tau, left, gamma = self.alpha, self.tau, self.left, self.gamma
         total = float(self.tables.sum())
         share = alpha * self.tables**2 / (self.tables + 1) / (total + gamma)
+        by_alias = self.method.endswith("alias")
 
         def finished(batch: Batch, z: np.ndarray, t: np.ndarray):
             """The new topic of each document at its provisional place."""
@@ -373,14 +429,24 @@ class HDP(_Topics):
             words, z = batch.columns
             z, n, u = z.copy(), batch.counts(z, k + 1).astype(float), batch.uniform(seed, step)
             odds = np.append(alpha * tau, 0.0)
+            if by_alias:
+                # the new topic is a last column of the words' tables
+                alone = np.concatenate([shared.value * odds[:k], np.full((v, 1), alpha * left / v)], 1)
+                tables, mass = AliasRows(alone, words), alone.sum(1)
             for at in batch.positions():
                 row = np.arange(len(at))
                 n[row, z[at]] -= 1
                 e = np.concatenate([shared.value[words[at]], np.full((len(at), 1), 1 / v)], 1)
-                p = (n[: len(at)] + odds) * e
-                p[:, k] += alpha * left / v
-                cum = np.cumsum(p, 1)
-                z[at] = np.minimum((cum < u[at, None] * cum[:, -1:]).sum(1), k)
+                if by_alias:
+                    cum = np.cumsum(n[: len(at)] * e, 1)
+                    inner, outer = cum[:, -1], mass[words[at]]
+                    x = u[at] * (inner + outer)
+                    z[at] = np.where(x < inner, np.minimum((cum < x[:, None]).sum(1), k), tables.draw(words[at], np.clip((x - inner) / outer, 0, 1 - 1e-12)))
+                else:
+                    p = (n[: len(at)] + odds) * e
+                    p[:, k] += alpha * left / v
+                    cum = np.cumsum(p, 1)
+                    z[at] = np.minimum((cum < u[at, None] * cum[:, -1:]).sum(1), k)
                 n[row, z[at]] += 1
             full, t = np.append(tau, left), np.zeros((len(batch.ids), k + 1), np.int64)
             for d, doc_id in enumerate(batch.ids):
@@ -396,6 +462,9 @@ class HDP(_Topics):
             for d, have in enumerate(before):
                 t[d, : min(len(have), k)] = have[:k]
             t = np.minimum(np.maximum(t, n > 0), n)
+            if by_alias:
+                alone = shared.value * share
+                by_word, mass, again = AliasRows(alone, words), alone.sum(1), batch.uniform(seed, step, 1 << 25)
             u, leave = batch.uniform(seed, step), batch.uniform(seed, step, 1 << 24)
             for at in batch.positions():
                 live, row = len(at), np.arange(len(at))
@@ -414,14 +483,28 @@ class HDP(_Topics):
                 new = np.empty((live, k + 1))
                 new[:, :k] = share * e[:, :k] * grow[:, :k] * (b[:, :k] + 1) / (a[:, :k] + 1)
                 new[:, k] = alpha * gamma / v / (total + gamma)
-                cum = np.cumsum(np.concatenate([old, new], 1), 1)
-                to = np.minimum((cum < u[at, None] * cum[:, -1:]).sum(1), 2 * k + 1)
+                if by_alias:
+                    # topics that the document lacks come from the word's table; one that it has is drawn anew among the others
+                    lacks = np.concatenate([a[:, :k] == 0, np.zeros((live, 1), bool)], 1)
+                    inner, absent = np.where(lacks, 0, new), np.where(lacks, new, 0)
+                    cum = np.cumsum(np.concatenate([old, inner], 1), 1)
+                    outer = np.maximum(mass[words[at]] - (share * e[:, :k] * ~lacks[:, :k]).sum(1), 0)
+                    x = u[at] * (cum[:, -1] + outer)
+                    topic = by_word.draw(words[at], np.clip((x - cum[:, -1]) / np.maximum(outer, 1e-300), 0, 1 - 1e-12))
+                    had = ~lacks[row, topic]
+                    if had.any():
+                        among = np.cumsum(absent[had], 1)
+                        topic[had] = np.minimum((among < again[at[had], None] * among[:, -1:]).sum(1), k - 1)
+                    to = np.where(x < cum[:, -1], np.minimum((cum < x[:, None]).sum(1), 2 * k + 1), k + 1 + topic)
+                else:
+                    cum = np.cumsum(np.concatenate([old, new], 1), 1)
+                    to = np.minimum((cum < u[at, None] * cum[:, -1:]).sum(1), 2 * k + 1)
                 z[at] = j = to % (k + 1)
                 n[row, j] += 1
                 t[row, j] = np.maximum(t[row, j] + (to > k), 1)
             return finished(batch, z, t)
 
-        rule = direct if self.method == "simple" else seated
+        rule = direct if self.method in ("simple", "alias") else seated
         return written(per_batch(state, rule, STATE + ", t array<int>", ["doc_id", "words", "z", "t"], ["doc_id", "words", "z"], "t"))
 
     def _reconcile(self, state: DataFrame, step: int) -> DataFrame:
@@ -447,16 +530,13 @@ class HDP(_Topics):
         keep = F.array(*[F.lit(int(i)) for i in alive])
         return written(state.select("doc_id", "words", F.transform("z", lambda x: F.get(new, x)).alias("z"), F.transform(keep, lambda i: F.coalesce(F.get("t", i), F.lit(0))).alias("t")))
 
-    def fit(self, docs: DataFrame, valid: DataFrame | None = None, snapshot: str | None = None, every: int = 200) -> float | None:
+    def start(self, docs: DataFrame) -> DataFrame:
         state = init_topics(docs, self.k, self.seed, spread=0)
         seen = F.transform(F.sequence(F.lit(0), F.lit(self.k)), lambda i: F.array_contains("z", i).cast("int"))
-        state = self._reconcile(written(state.withColumn("t", seen)), 0)
-        for step in range(1, self.iters + 1):
-            state = self._reconcile(self._sweep(state, step), step)
-            if snapshot and (step % every == 0 or step == self.iters):
-                self.save(docs.sparkSession, f"{snapshot}-{step}")
-        self.state = state
-        return self.evaluate(valid) if valid is not None else None
+        return self._reconcile(written(state.withColumn("t", seen)), 0)
+
+    def advance(self, state: DataFrame, step: int) -> DataFrame:
+        return self._reconcile(self._sweep(state, step), step)
 
     def get_topic_matrix(self, spark: SparkSession) -> DataFrame:
         rows = [(w, k, float(p * self.tau[k])) for w, row in enumerate(self.phi) for k, p in enumerate(row)]

@@ -570,7 +570,7 @@ def glda_fit(spark, sf_dir):
 @query
 def lda_fit_counts(spark, sf_dir):
     """Word and topic counts after three sweeps."""
-    words, vocab = coded(spark, sf_dir, "conversations")
+    words, vocab = coded(spark, sf_dir)
     model = topics.LDA(T, 3, vocab, seed=7)
     model.fit(words)
     return topics.word_topic_counts(model.state)
@@ -579,14 +579,14 @@ def lda_fit_counts(spark, sf_dir):
 @query
 def lda_predict_sizes(spark, sf_dir):
     """Per document: tokens that got a topic, and whether all are topics of the model."""
-    words, vocab = coded(spark, sf_dir, "conversations")
+    words, vocab = coded(spark, sf_dir)
     model = topics.LDA(T, 2, vocab, seed=7)
     model.fit(words)
     return model.predict(words, 2).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("topic").between(0, T - 1)).alias("in_range"))
 
 
-def hdp_totals(spark, sf_dir, method: str) -> DataFrame:
-    words, vocab = coded(spark, sf_dir, "conversations")
+def hdp_totals(spark, sf_dir, method: str, source: str) -> DataFrame:
+    words, vocab = coded(spark, sf_dir, source)
     model = topics.HDP(G, 2, vocab, method=method, seed=7)
     model.fit(words)
     counts = topics.word_topic_counts(model.state)
@@ -596,12 +596,12 @@ def hdp_totals(spark, sf_dir, method: str) -> DataFrame:
 @query
 def hdp_simple_totals(spark, sf_dir):
     """Tokens with a topic after two sweeps, and whether all are active ones."""
-    return hdp_totals(spark, sf_dir, "simple")
+    return hdp_totals(spark, sf_dir, "simple", "documents")
 
 
 @query
 def hdp_stc_totals(spark, sf_dir):
-    return hdp_totals(spark, sf_dir, "stc")
+    return hdp_totals(spark, sf_dir, "stc", "conversations")
 
 
 @query
@@ -617,7 +617,7 @@ def hdp_heldout_given_z(spark, sf_dir):
 
 @query
 def lda_fit_predict(spark, sf_dir):
-    words, vocab = coded(spark, sf_dir, "conversations")
+    words, vocab = coded(spark, sf_dir)
     model = topics.LDA(T, 5, vocab, seed=7)
     model.fit(words)
     return model.predict(words, 2)

@@ -100,7 +100,7 @@ def started(k: int, source: str = "(SELECT doc_id, text FROM documents)") -> str
     return f"{coded(source)}, z AS (SELECT doc_id, pos, word_id, {draw} AS topic FROM coded)"
 
 
-def lda_after(steps: int, source: str) -> str:
+def lda_after(steps: int, source: str = "(SELECT doc_id, text FROM documents)") -> str:
     """z{steps}(doc_id, pos, word_id, topic) after so many synchronous sweeps from z."""
     parts = [started(T, source).replace("WITH ", "", 1), f"ks AS (SELECT unnest(range({T}))::INT AS k)", "z0 AS MATERIALIZED (SELECT * FROM z)"]
     for s in range(steps):
@@ -252,9 +252,9 @@ ORACLES: dict[str, str] = {
         f" each AS (SELECT z.doc_id, z.pos, ln(sum((coalesce(n, 0) + {50.0 / T}) * p)) AS l FROM z CROSS JOIN ks LEFT JOIN nmk ON nmk.doc_id = z.doc_id AND nmk.k = ks.k JOIN phi ON phi.word_id = z.word_id AND phi.k = ks.k GROUP BY z.doc_id, z.pos)"
         " SELECT round(sum(l - ln(size + 50.0)) / count(*), 6) AS score FROM each JOIN sizes USING (doc_id)"
     ),
-    "lda_fit_counts": f"{lda_after(3, TALK)} SELECT word_id, topic AS k, count(*) AS n FROM z3 GROUP BY ALL",
-    "lda_predict_sizes": f"{coded(TALK)} SELECT doc_id, count(*) AS n, true AS in_range FROM coded GROUP BY doc_id",
-    "hdp_simple_totals": f"{coded(TALK)} SELECT count(*) AS n, true AS in_range FROM coded",
+    "lda_fit_counts": f"{lda_after(3)} SELECT word_id, topic AS k, count(*) AS n FROM z3 GROUP BY ALL",
+    "lda_predict_sizes": f"{coded()} SELECT doc_id, count(*) AS n, true AS in_range FROM coded GROUP BY doc_id",
+    "hdp_simple_totals": f"{coded()} SELECT count(*) AS n, true AS in_range FROM coded",
     "hdp_stc_totals": f"{coded(TALK)} SELECT count(*) AS n, true AS in_range FROM coded",
     "hdp_heldout_given_z": (
         f"{started(G, TALK)}, ks AS (SELECT unnest(range({G}))::INT AS k), nwk AS (SELECT word_id, topic AS k, count(*) AS n FROM z GROUP BY ALL), nk AS (SELECT k, sum(n) AS n FROM nwk GROUP BY k),"

@@ -7,6 +7,7 @@ many files of moderate size, or Parquet, for large data.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,3 +93,29 @@ def synthetic_clusters(spark: SparkSession, n: int, dim: int, k: int, spread: fl
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(list(v), pa.list_(pa.float64())), pa.array(label.astype(np.int32))], names=["id", "v", "label"])
 
     return spark.range(n).mapInArrow(run, "id long, v array<double>, label int").withColumn("id", F.col("id"))
+
+
+def write_synthetic_packs(spark: SparkSession, path: str, n: int, dim: int, k: int, packs: int, std: float = 64.0, spread: float = 1000.0, seed: int = 3) -> None:
+    """Synthetic points in so many files under path/points, with the means they were drawn around under path/truth."""
+    synthetic_clusters(spark, n, dim, k, spread, std, seed).repartition(packs, "id").write.mode("overwrite").parquet(f"{path}/points")
+    means = np.random.default_rng(seed).uniform(-spread, spread, (k, dim))
+    spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(means)], "k int, v array<double>").write.mode("overwrite").parquet(f"{path}/truth")
+
+
+def write_points(points: DataFrame, path: str, version: int = 1) -> None:
+    """One binary file a partition, in a store that pyarrow can write; points(id, v) in the order of id within each."""
+    from pyarrow import fs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.asarray(b.column(1).values).reshape(len(b), -1) for b in batches if len(b)]
+        if parts:
+            store, root = fs.FileSystem.from_uri(path)
+            store.create_dir(root, recursive=True)
+            name = f"{root}/part-{uuid.uuid4().hex}.dat"
+            x = np.concatenate(parts)
+            with store.open_output_stream(name) as out:
+                out.write(points_bytes(x, version))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(x)], pa.int64())], names=["file", "n"])
+
+    rows = points.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).sortWithinPartitions("id")
+    rows.mapInArrow(run, "file string, n long").collect()  # one row a partition

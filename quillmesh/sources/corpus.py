@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rng import uniform
 from ..plans.store import written
 
 DELIMITERS = r"[ \t\n\r\f]+"
@@ -113,13 +114,36 @@ def read_ldac(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("doc_id", F.split("p", ":")[0].cast("int").alias("word_id"), F.split("p", ":")[1].cast("int").alias("n"))
 
 
-def preprocess(counts: DataFrame, vocab: DataFrame, num_test: int, trunc: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(train, test) as doc_id, text: words repeated by count, rare ones and blank documents dropped."""
+def read_ldac_vocab(spark: SparkSession, path: str) -> DataFrame:
+    """word_id, word, n1, n2 of lines such as "word = 3 = 12 7", whose ids must count from 0; words keep letters and digits only."""
+    parts = read_lines(spark, path).where(F.trim("text") != "").select(F.split(F.trim("text"), r"\s+").alias("p"))
+    if parts.where((F.size("p") != 6) | (F.col("p")[1] != "=") | (F.col("p")[3] != "=")).limit(1).count():
+        raise ValueError("a line is not of the form: word = id = n1 n2")
+    number = lambda i: F.col("p")[i].cast("int")
+    words = written(parts.select(number(2).alias("word_id"), clean_word(F.col("p")[0]).alias("word"), number(4).alias("n1"), number(5).alias("n2")))
+    r = words.agg(F.count(F.lit(1)), F.count_distinct("word_id"), F.min("word_id"), F.max("word_id")).first()
+    if r[0] and (r[1], r[2], r[3]) != (r[0], 0, r[0] - 1):
+        raise ValueError("word ids must count from 0")
+    return words
+
+
+def preprocess(counts: DataFrame, vocab: DataFrame, num_test: int, trunc: int = 0, shuffle: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(train, test) as doc_id, text: words repeated by count, rare ones and blank documents dropped.
+
+    Words are in the order of their ids, or, with shuffle, drawn one after the other with odds
+    by what is left of their counts: a random order of all copies.
+    """
     frequent = counts.groupBy("word_id").agg(F.sum("n").alias("all")).where(F.col("all") > trunc)
     named = vocab.select("word_id", clean_word(F.col("word")).alias("word")).where("word <> ''")
-    rows = counts.join(frequent, "word_id", "left_semi").join(named, "word_id")
-    rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word_id", "word", "n"))).alias("w"))
-    text = F.array_join(F.flatten(F.transform("w", lambda x: F.array_repeat(x["word"], x["n"]))), " ")
+    rows = counts.join(frequent, "word_id", "left_semi").join(named, "word_id").where("n > 0")
+    if shuffle:
+        copies = rows.select("doc_id", "word_id", "word", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+        u = uniform(seed, 0, F.col("doc_id"), F.xxhash64("word_id", "copy"))
+        rows = copies.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(u.alias("u"), "word_id", "copy", "word"))).alias("w"))
+        text = F.array_join(F.transform("w", lambda x: x["word"]), " ")
+    else:
+        rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word_id", "word", "n"))).alias("w"))
+        text = F.array_join(F.flatten(F.transform("w", lambda x: F.array_repeat(x["word"], x["n"]))), " ")
     rows = rows.select("doc_id", text.alias("text")).where("text <> ''")
     return rows.where(F.col("doc_id") >= num_test), rows.where(F.col("doc_id") < num_test)
 
