@@ -19,8 +19,7 @@ def _psi(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Digamma and trigamma of positive numbers, by recurrence up to 8 and the asymptotic series."""
     x = np.array(x, float)
     one, two = np.zeros_like(x), np.zeros_like(x)
-    for _ in range(8):
-        low = x < 8
+    while (low := x < 8).any():
         one -= np.where(low, 1 / x, 0)
         two += np.where(low, 1 / x**2, 0)
         x = np.where(low, x + 1, x)
@@ -32,8 +31,7 @@ def _psi(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     x, shift = np.array(x, float), np.zeros(np.shape(x))
-    for _ in range(8):
-        low = x < 8
+    while (low := x < 8).any():
         shift -= np.where(low, np.log(x), 0)
         x = np.where(low, x + 1, x)
     y = 1 / (x * x)
@@ -43,13 +41,15 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 def saddle_log(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """log s(n, m) for 1 < m < n by the saddle point x of Gamma(x + n) / Gamma(x) / x^m."""
     n, m = np.broadcast_arrays(np.asarray(n, float), np.asarray(m, float))
-    low, high = np.full(n.shape, -30.0), np.log(n) * 2 + 5
-    for _ in range(80):  # m = x (psi(x + n) - psi(x)) grows with x
-        mid = (low + high) / 2
-        x = np.exp(mid)
-        under = x * (_psi(x + n)[0] - _psi(x)[0]) < m
-        low, high = np.where(under, mid, low), np.where(under, high, mid)
-    x = np.exp((low + high) / 2)
+    y = np.log(m / np.log1p(n / m))
+    for _ in range(40):  # Newton's steps for log of m = x (psi(x + n) - psi(x)), which grows with x
+        x = np.exp(y)
+        (p1, p2), (q1, q2) = _psi(x + n), _psi(x)
+        step = np.clip((np.log(x * (p1 - q1)) - np.log(m)) / (1 + x * (p2 - q2) / (p1 - q1)), -2, 2)
+        y = y - step
+        if np.abs(step).max(initial=0) < 1e-10:
+            break
+    x = np.exp(y)
     spread = m + x * x * (_psi(x + n)[1] - _psi(x)[1])
     return _log_gamma(x + n) - _log_gamma(x) - m * np.log(x) - 0.5 * np.log(2 * np.pi * spread)
 
