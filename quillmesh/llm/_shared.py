@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Folder inside the shared one that a running stage keeps its tables in.
+_INNER: ContextVar[str] = ContextVar("inner", default="")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
@@ -28,13 +34,32 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillmesh-")
         spark.conf.set("quillmesh.scratch.dir", base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    return "/".join([base.rstrip("/"), spark.sparkContext.applicationId, *filter(None, [_INNER.get()])])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, in whatever store it is."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def own_folder(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end; what is to stay is materialized to a folder named before."""
+    token = _INNER.set(uuid.uuid4().hex)
+    folder = shared_dir(spark)
+    try:
+        yield
+    finally:
+        _INNER.reset(token)
+        delete(spark, folder)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
