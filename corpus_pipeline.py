@@ -4,6 +4,11 @@ Language ID drops documents that the character models reject; line dedup removes
 lines from the texts; near-dedup keeps one document of each group; decontamination drops
 documents in which two or more benchmark items occur; mixing samples the sources to their
 target weights and returns how often each chosen document is to be repeated.
+
+Defined cases: documents without a text or without letters go in the first stage; rows of one
+doc_id with different texts are judged one by one; what a doc_id, source or other column holds
+decides nothing but the mix (by source); an empty table gives an empty result; every stage but
+the last keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmesh.llm import decontaminate, language, lines, minhash, mixing
-from quillmesh.llm._shared import materialize
+from quillmesh.llm._shared import delete, materialize, own_folder, shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +49,18 @@ STAGES = [
     ("op7_source_mixing", mix_sources),
 ]
 
-#: The models and hashes of the first and third stage have no SQL form.
+#: The models of the first stage have no SQL form; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; a stage's own tables, and what it read, are deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at + 1 < len(STAGES):
-            docs = materialize(docs)
+    outer, before = f"{shared_dir(spark)}/corpus", None
+    for _, stage in STAGES:
+        with own_folder(spark):
+            docs = materialize(stage(spark, docs, sf_dir), outer)
+        if before:
+            delete(spark, before)
+        before = docs.inputFiles()[0].rsplit("/", 1)[0] if docs.inputFiles() else None
     return docs
