@@ -90,7 +90,8 @@ def per_batch(docs: DataFrame, function, schema: str, names: list[str], columns:
                 at = upto
                 flat = [_flat(part.column(i)) for i in range(1, len(columns))]
                 batch = Batch(part.column(0).to_numpy(), [f[0] for f in flat], [f[1] for f in flat])
-                more = ([part.column(len(columns)).to_pylist()[i] or [] for i in batch.order],) if extra else ()
+                lists = part.column(len(columns)).to_pylist() if extra else []
+                more = ([lists[i] or [] for i in batch.order],) if extra else ()
                 ids, *out = function(batch, *more)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), *out], names=names)
 
