@@ -25,6 +25,8 @@ from .search import packed
 
 BASE = 1.3
 TREE_ROWS = 20_000
+#: Blocks of queries whose best rows a task holds at a time.
+HELD = 16
 
 
 def replaced(front: list, children, need: int, before: list) -> list:
@@ -152,6 +154,82 @@ class Tree:
             stack += sorted(((float(a), b) for a, b in zip(dists, kids, strict=True)), reverse=True)
         return sorted((-d, -i) for d, i in best)
 
+    def search_many(self, qs: np.ndarray, k: int, radius: float = np.inf, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of qs, ids and distances of what search() finds for each, in any order; k = 0: all within radius.
+
+        The queries go down the tree together: a node is opened for those that its furthest
+        descendant can still improve, and meets its children in one product of matrices; exact
+        distances decide on what that leaves. bound, if given, is a distance per query beyond
+        which nothing is wanted; it is tightened in place.
+        """
+        bound = np.full(len(qs), float(radius)) if bound is None else bound
+        norms, q2 = (self.points**2).sum(1), (qs * qs).sum(1)
+        best_d, best_i = np.full((len(qs), k), np.inf), np.full((len(qs), k), np.iinfo(np.int64).max)
+        out: list[tuple] = []
+        members = {n: np.array(sorted(i for i in (n, *c) if self.alive[i]), np.int64) for n, c in self.copies.items()}
+
+        def offer(rows: np.ndarray, nodes: list[int], d2: np.ndarray, slack: np.ndarray) -> None:
+            a, b = np.nonzero(d2 - slack <= bound[rows, None] ** 2)
+            if not len(a):
+                return
+            row, node = rows[a], np.asarray(nodes)[b]
+            d = np.empty(len(row))
+            for at in range(0, len(row), 1 << 16):
+                some = slice(at, at + (1 << 16))
+                d[some] = np.sqrt(((self.points[node[some]] - qs[row[some]]) ** 2).sum(1))
+            if members:
+                lists = [members.get(n) for n in nodes]
+                lists = [(np.array([n]) if self.alive[n] else np.zeros(0, np.int64)) if m is None else m[np.argsort(self.ids[m], kind="stable")][: k or None] for n, m in zip(nodes, lists, strict=True)]
+                sizes = np.array([len(m) for m in lists])[b]
+                starts = np.concatenate([[0], np.cumsum([len(m) for m in lists])])[b]
+                flat = np.concatenate(lists).astype(np.int64)
+                within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                row, d, node = np.repeat(row, sizes), np.repeat(d, sizes), flat[np.repeat(starts, sizes) + within]
+            else:
+                here = self.alive[node]
+                row, d, node = row[here], d[here], node[here]
+            keep = (d < radius) & (d <= bound[row])
+            row, d, who = row[keep], d[keep], self.ids[node[keep]]
+            if not k:
+                out.append((row, who, d))
+                return
+            some = np.unique(row)
+            if not len(some):
+                return
+            row = np.concatenate([row, np.repeat(some, k)])
+            d, who = np.concatenate([d, best_d[some].ravel()]), np.concatenate([who, best_i[some].ravel()])
+            order = np.lexsort((who, d, row))
+            first = np.searchsorted(row[order], some)
+            take = order[first[:, None] + np.arange(k)]
+            best_d[some], best_i[some] = d[take], who[take]
+            bound[some] = np.minimum(bound[some], best_d[some, -1])
+
+        def distances(rows: np.ndarray, nodes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+            both = q2[rows, None] + norms[nodes][None, :]
+            return np.maximum(both - 2 * (qs[rows] @ self.points[nodes].T), 0), 1e-11 * both
+
+        everyone = np.arange(len(qs))
+        d2, slack = distances(everyone, [self.root])
+        offer(everyone, [self.root], d2, slack)
+        stack = [(self.root, everyone, np.sqrt(np.maximum(d2 - slack, 0))[:, 0])]
+        while stack:
+            node, rows, least = stack.pop()
+            kids = self.children[node]
+            open_ = least - self.radius[node] <= bound[rows] + 1e-9 * (1 + self.radius[node])
+            rows = rows[open_]
+            if not kids or not len(rows):
+                continue
+            for at in range(0, len(kids), 1024):
+                some = kids[at : at + 1024]
+                d2, slack = distances(rows, some)
+                offer(rows, some, d2, slack)
+                least = np.sqrt(np.maximum(d2 - slack, 0))
+                stack += [(kid, rows, least[:, i]) for i, kid in enumerate(some) if self.children[kid]]
+        if k:
+            row, at = np.nonzero(np.isfinite(best_d))
+            return row, best_i[row, at], best_d[row, at]
+        return tuple(np.concatenate(c) if out else np.zeros(0, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (np.int64, np.int64, float), strict=True))
+
     def covering(self) -> bool:
         """Every child lies within its parent's cover distance."""
         kids = np.flatnonzero(self.parent >= 0)
@@ -262,18 +340,46 @@ class CoverTree:
         return self._changed(rest, out, lambda tree, _, x: tree.drop(x)), bool(out.take(1))
 
     def _search(self, queries: DataFrame, k: int, radius: float) -> DataFrame:
+        names = ["qid", "id", "dist"]
+
+        def rows(qids: np.ndarray, found: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(qids[found[0]]), pa.array(found[1]), pa.array(found[2])], names=names)
+
+        def merged(old: tuple | None, new: tuple) -> tuple:
+            """The k best of each query out of two answers."""
+            if old is None:
+                return new
+            row, who, d = (np.concatenate(c) for c in zip(old, new, strict=True))
+            order = np.lexsort((who, d, row))
+            row = row[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            return row[keep], who[order][keep], d[order][keep]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # per block of queries: its ids, the best so far and the distance beyond which nothing is wanted
+            held: dict[int, tuple] = {}
             for batch in batches:
                 for i in range(batch.num_rows):
-                    tree = Tree.from_bytes(batch.column(2)[i].as_py())
-                    rows = []
-                    for qid, q in zip(np.asarray(batch.column(0)[i].values), vec.matrix(batch.column(1)[i].values), strict=True):
-                        size = k if k > 0 else len(tree.ids)
-                        rows += [(int(qid), who, d) for d, who in tree.search(q, size, radius)]
-                    a, b, c = zip(*rows, strict=True) if rows else ((), (), ())
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["qid", "id", "dist"])
-
-        blocks = packed(queries, "qid", "qv", max(1, -(-queries.count() // 2048))).select(F.col("ids").alias("qids"), F.col("vs").alias("qvs"))
+                    block, tree = batch.column(0)[i].as_py(), Tree.from_bytes(batch.column(3)[i].as_py())
+                    if not k:
+                        qids, qs = np.asarray(batch.column(1)[i].values), vec.matrix(batch.column(2)[i].values)
+                        for at in range(0, len(qids), 256):
+                            yield rows(qids[at : at + 256], tree.search_many(qs[at : at + 256], 0, radius))
+                        continue
+                    if block not in held and len(held) == HELD:
+                        old, best, _, _ = held.pop(next(iter(held)))
+                        yield rows(old, best)
+                    if block not in held:
+                        qids = np.asarray(batch.column(1)[i].values)
+                        held[block] = qids, None, np.full(len(qids), float(radius)), vec.matrix(batch.column(2)[i].values)
+                    qids, best, bound, qs = held[block]
+                    held[block] = qids, merged(best, tree.search_many(qs, k, radius, bound)), bound, qs
+            for qids, best, _, _ in held.values():
+                yield rows(qids, best)
+
+        n = max(1, -(-queries.count() // 2048))
+        blocks = packed(queries, "qid", "qv", n).select(F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vs").alias("qvs"))
+        blocks = blocks.repartition(min(n, queries.sparkSession.sparkContext.defaultParallelism))
         return blocks.crossJoin(self.trees.select("tree")).mapInArrow(run, "qid long, id long, dist double")
 
     def k_nearest(self, queries: DataFrame, k: int = 10) -> DataFrame:

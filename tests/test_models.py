@@ -147,3 +147,17 @@ def test_text_formats(spark, tmp_path):
     assert [tuple(r) for r in test.collect()] == [(0, "ab ab d")] and [tuple(r) for r in train.collect()] == [(1, "c")]
     (tmp_path / "ldac").write_text("2 0:1 5:3\n0\n1 2:2\n")
     assert sorted(map(tuple, corpus.read_ldac(spark, f"file://{tmp_path}/ldac").collect())) == [(0, 0, 1), (0, 5, 3), (2, 2, 2)]
+
+
+@pytest.mark.parametrize("copies", [0, 400])
+def test_many_queries_at_once_equal_single_searches(copies):
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(size=(600, 4)), np.zeros((copies, 4)) + 0.5, r.normal(size=(100, 4)) * 50 + 300])
+    q = np.concatenate([r.normal(size=(40, 4)), x[:5], x[600:605], x[-3:]])
+    tree = covertree.Tree(np.arange(len(x))[::-1] * 3, x)
+    tree.drop(x[10:60])
+    for k, radius in ((1, np.inf), (3, np.inf), (5, 0.9), (2000, np.inf), (0, 1.5)):
+        rows, ids, dist = tree.search_many(q, k, radius)
+        for i in range(len(q)):
+            got = sorted(zip(dist[rows == i].tolist(), ids[rows == i].tolist(), strict=True))
+            assert got == tree.search(q[i], k or len(x), radius)
