@@ -104,3 +104,37 @@ def test_vocabulary_is_hashed_and_encoders_round_trip(spark, monkeypatch):
     assert [r["word"] for r in corpus.build_vocab(tokens, trunc=1).orderBy("word_id").collect()] == ["b", "a"]
     bags = {r["doc_id"]: (r["words"], r["ns"]) for r in corpus.bags_of_lists(corpus.encode_texts(docs, vocab)).collect()}
     assert bags[7] == ([1, 2, 3], [2, 1, 1]) and bags[1 << 62] == ([0, 4], [1, 1])
+
+
+def test_whole_corpora_are_encoded_by_parts(spark, monkeypatch):
+    texts = [(7, "c a a \ta"), (-(1 << 60), " b a  b\n"), (0, None), (1, " \t"), (3, "b é c\r\nc é"), (1 << 62, "z b"), (5, "q c")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for most in (4, 1 << 24):
+        monkeypatch.setattr(corpus, "PART_CHARS", most)
+        for trunc in (0, 1):
+            coded, vocab = corpus.encode_corpus(docs.coalesce(2), trunc)
+            known = corpus.build_vocab(corpus.tokenize(docs), trunc=trunc)
+            assert sorted(map(tuple, vocab.collect())) == sorted(map(tuple, known.collect()))
+            again = {r["doc_id"]: r["words"] for r in corpus.encode_texts(docs, known).collect()}
+            assert {r["doc_id"]: r["words"] for r in coded.collect()} == again and len(again) == 5
+
+
+def test_words_meet_once_for_a_part_and_counts_only_where_asked(spark, monkeypatch):
+    """What is exchanged is words of parts, not tokens; count rows are written only where weights are used."""
+    docs = spark.createDataFrame([(d, "a b a " * 50) for d in range(40)], "doc_id long, text string").coalesce(1)
+    seen = []
+    real = corpus._numbered
+    monkeypatch.setattr(corpus, "_numbered", lambda rows, *rest: seen.append(rows.count()) or real(rows, *rest))
+    coded, vocab = corpus.encode_corpus(docs)
+    assert seen == [2] and vocab.count() == 2
+    made = []
+    rows = topics.count_rows
+    monkeypatch.setattr(topics, "count_rows", lambda state: made.append(1) or rows(state))
+    model = topics.LDA(2, 1, vocab)
+    model.fit(coded)
+    assert len(made) == 1  # those of the first topics; after the last sweep nobody asked
+    assert model.phi.shape == (2, 2) and model.phi.sum(0) == pytest.approx([1, 1]) and len(made) == 2
+    model.get_top_words(spark, 1).collect()
+    assert len(made) == 2
+    needs = topics.Needs(model.state, 2)
+    assert needs.words.count() == 2
